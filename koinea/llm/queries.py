@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from koinea.llm import linededup, minhash, mixing
+from koinea.llm import langid, linededup, minhash, mixing, sentencepieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +52,27 @@ def op1(spark, sf_dir):
     return minhash.near_duplicates(_documents(spark, sf_dir), ngram=3, similarity=(85, 100))
 
 
+@_query("op2_language_id")
+def op2(spark, sf_dir):
+    """Predicted languages, learned from the documents that are not held out."""
+    docs = _documents(spark, sf_dir)
+    held = langid.held_out(F.col("doc_id"), 4)
+    return langid.identify(docs, learn=~held).select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@_query("op3_sentencepiece")
+def op3(spark, sf_dir):
+    """Token counts and a digest of the ids of every document; decoding and SentencePiece agree."""
+    return sentencepieces.encode(_documents(spark, sf_dir)).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "n_byte_tokens",
+        F.xxhash64("ids").alias("ids_digest"),
+        "round_trip",
+        "parity",
+    )
+
+
 @_query("op7_line_dedup")
 def op7(spark, sf_dir):
     """Lines deleted from every document, and a digest of what stays."""
