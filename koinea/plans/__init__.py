@@ -1,10 +1,8 @@
 """Query plans by topic; importing this registers them all."""
 
+from koinea.plans import evaluation, lexical, relational
 from koinea.plans.registry import ORACLES, QUERIES
 
+flagship = lexical.cross_group_distance
 
-def flagship(spark, sf_dir):
-    return QUERIES["cross_group_distance"](spark, sf_dir)
-
-
-__all__ = ["ORACLES", "QUERIES", "flagship"]
+__all__ = ["ORACLES", "QUERIES", "evaluation", "flagship", "lexical", "relational"]
