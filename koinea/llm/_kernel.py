@@ -128,6 +128,15 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     return out
 
 
+def cut_after(data: np.ndarray, start: int, cut: int, end: int, rule: np.ndarray) -> int:
+    """The first place from cut on that is not within a word."""
+    cut = min(cut, end)
+    while start < cut < end and rule[data[cut]] and rule[data[cut - 1]]:
+        gap = np.flatnonzero(~rule[data[cut : min(end, cut + SEGMENT)]])
+        cut = cut + int(gap[0]) if len(gap) else min(end, cut + SEGMENT)
+    return cut
+
+
 def words(data: np.ndarray, offsets: np.ndarray, rule: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and for each document the index of its first word (n+1 values)."""
     hashes, counts = [], []
@@ -141,10 +150,7 @@ def words(data: np.ndarray, offsets: np.ndarray, rule: np.ndarray = NOT_SPACE) -
             continue
         total, here = 0, 0  # one long document, in pieces that end between words
         while here < len(part):
-            cut = min(len(part), here + 4 * SEGMENT)
-            while cut < len(part) and rule[part[cut]] and rule[part[cut - 1]]:
-                gap = np.flatnonzero(~rule[part[cut : cut + SEGMENT]])
-                cut = cut + int(gap[0]) if len(gap) else min(len(part), cut + SEGMENT)
+            cut = cut_after(part, here, here + 4 * SEGMENT, len(part), rule)
             piece = part[here:cut]
             starts, ends = word_spans(piece, np.array([0, len(piece)]), rule)
             hashes.append(span_hashes(piece, starts, ends))

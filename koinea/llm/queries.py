@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from koinea.llm import langid, linededup, minhash, mixing, sentencepieces
+from koinea.llm import html_text, iblt, langid, licenses, linededup, minhash, mixing, sentencepieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +73,18 @@ def op3(spark, sf_dir):
     )
 
 
+@_query("op4_html_extraction")
+def op4(spark, sf_dir):
+    """The main text of every page."""
+    return html_text.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@_query("op5_fingerprints")
+def op5(spark, sf_dir):
+    """Sketches of every document and its edited text, with likenesses."""
+    return iblt.fingerprints(_documents(spark, sf_dir))
+
+
 @_query("op7_line_dedup")
 def op7(spark, sf_dir):
     """Lines deleted from every document, and a digest of what stays."""
@@ -104,3 +116,37 @@ def op9(spark, sf_dir):
     """The mix of all documents: sizes, targets, and the words taken."""
     plan = mixing.mix_plan(_documents(spark, sf_dir))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def _license_sql() -> str:
+    rows = []
+    for k, (label, text) in enumerate(licenses.TEMPLATES):
+        own = sorted(set(licenses.tokens_of(text)))
+        need = -(-len(own) * licenses.THRESHOLD[0] // licenses.THRESHOLD[1])
+        rows.append(f"({k}, '{label}', [{', '.join(repr(w) for w in own)}], {need})")
+    parts = []
+    for phrase, label in licenses.PHRASES:
+        test = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
+        parts.append(f"SELECT doc_id, i - 1 AS s, '{label}' AS label FROM i WHERE {test}")
+    word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    return f"""
+WITH t(k, label, tokens, need) AS (VALUES {', '.join(rows)}),
+d AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS x FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(x, {word}) AS w FROM d),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+p AS ({' UNION ALL '.join(parts)}),
+b AS (SELECT doc_id, count(*)::BIGINT AS n_base, min(s)::BIGINT AS first_word, max(s)::BIGINT AS last_word, list_sort(list(DISTINCT label)) AS labels FROM p GROUP BY 1),
+l AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(x, chr(10))), {word})) AS words FROM d),
+m AS (SELECT doc_id, label, len(list_intersect(words, tokens)) / len(tokens)::DOUBLE AS c FROM l, t WHERE len(words) >= need AND len(list_intersect(words, tokens)) >= need),
+n AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS c FROM m GROUP BY 1)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(array_to_string(b.labels, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(n.labels, [])))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score
+FROM w LEFT JOIN b ON b.doc_id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
+
+@_query("op10_license_scan", _license_sql())
+def op10(spark, sf_dir):
+    """License labels of every document."""
+    return licenses.scan_licenses(_documents(spark, sf_dir))
