@@ -2,7 +2,7 @@
 
 A text's paragraph digests go to cells that hold a count, the digests' exclusive or and that of their
 checks. Two versions' cells subtract; cells with one digest left give it up, which frees others. If
-peeling ends with cells that are not empty, it is tried again on a sketch four times as large.
+peeling ends with cells that are not empty, it is tried again on a sketch twice as large.
 """
 
 from __future__ import annotations
@@ -15,49 +15,46 @@ from koinea.llm._tables import numbered
 #: Cells of one table: three parts of eight, a digest has one cell in each.
 CELLS, PART = 24, 8
 #: Tables of a sketch at each try; a digest belongs to one table. After the last, digests are compared one by one.
-TRIES = (1, 4, 16, 64, 256)
-ROUNDS = 12
-PARAGRAPH_END = r"\n|(?<=[.!?])\s+"
+TRIES = tuple(1 << k for k in range(13))
+#: Digests that a table is expected to hold at the most; smaller tries are not made.
+LOAD = 8
+ROUNDS = 6
+PARAGRAPH_END = "\n"
 _SALT = 7_046_029_254_386_353_131
+_KEYS = "array<struct<k:bigint,h:bigint,a:int,b:int,c:int,g:int>>"
 
 
 def digests(text: Column) -> Column:
-    """Distinct digests of a text's paragraphs with their checks, as array<struct<k:bigint,h:bigint>>; blank paragraphs are left out."""
+    """Distinct digests of a text's paragraphs, blank ones left out: digest k, check h, its three cells and table number g."""
     parts = F.filter(F.transform(F.split(text, PARAGRAPH_END), lambda p: F.trim(p)), lambda p: p != "")
-    return F.transform(F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p))), _keyed)
+    hashes = F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
+    checked = F.transform(hashes, lambda k: F.struct(k.alias("k"), F.xxhash64(k, F.lit(_SALT)).alias("h")))
+    return F.transform(checked, lambda x: F.struct(x["k"].alias("k"), x["h"].alias("h"), *_cells(x["h"]), F.shiftrightunsigned(x["h"], 40).cast("int").alias("g")))
 
 
-def _keyed(k: Column) -> Column:
-    return F.struct(k.alias("k"), F.xxhash64(k, F.lit(_SALT)).alias("h"))
+def _cells(h: Column) -> list[Column]:
+    mask = F.lit(PART - 1).cast("long")
+    bits = [F.shiftrightunsigned(h, 8 * j).bitwiseAND(mask).cast("int") + PART * j for j in range(3)]
+    return [x.alias(n) for x, n in zip(bits, "abc", strict=True)]
 
 
-def _in_cell(h: Column, i: Column) -> Column:
-    """Whether a digest with check h belongs to cell i of its table: bits of h pick a cell in each part."""
-    shift = F.when(i < PART, 0).when(i < 2 * PART, 8).otherwise(16)
-    return F.call_function("shiftright", h, shift).bitwiseAND(F.lit(PART - 1).cast("long")) == (i % PART).cast("long")
-
-
-def _group(h: Column, tables: int) -> Column:
-    return F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(tables - 1).cast("long"))
+def _has(x: Column, i: Column) -> Column:
+    return (x["a"] == i) | (x["b"] == i) | (x["c"] == i)
 
 
 def _cell(n: Column, k: Column, h: Column) -> Column:
     return F.struct(n.cast("int").alias("n"), k.cast("long").alias("k"), h.cast("long").alias("h"))
 
 
-def _fold(cell: Column, keys: Column, i: Column, sign) -> Column:
-    """cell with the digests of keys that belong to cell i added (sign 1) or taken out by their own sign."""
-    return F.aggregate(
-        keys,
-        cell,
-        lambda a, x: F.when(_in_cell(x["h"], i), _cell(a["n"] + sign(x), a["k"].bitwiseXOR(x["k"]), a["h"].bitwiseXOR(x["h"]))).otherwise(a),
-    )
-
-
 def table(keys: Column) -> Column:
-    """The cells of one table."""
+    """The cells of one table: how many digests, and the exclusive or of digests and of checks."""
     empty = _cell(F.lit(0), F.lit(0), F.lit(0))
-    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: _fold(empty, keys, i, lambda x: F.lit(1)))
+
+    def cell(i: Column) -> Column:
+        own = F.filter(keys, lambda x: _has(x, i))
+        return F.aggregate(own, empty, lambda s, x: _cell(s["n"] + 1, s["k"].bitwiseXOR(x["k"]), s["h"].bitwiseXOR(x["h"])))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), cell)
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -66,52 +63,79 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def peel(cells: Column) -> Column:
-    """Digests that one side alone has, as array<struct<k,h,n>> with n 1 or -1 for the side; null if cells are left over."""
-    kind = "struct<cells:array<struct<n:int,k:bigint,h:bigint>>,found:array<struct<k:bigint,h:bigint,n:int>>>"
+    """Digests that one side alone has, n being 1 or -1 for the side; null if cells are left over."""
+    kind = "struct<cells:array<struct<n:int,k:bigint,h:bigint>>,found:array<struct<n:int,k:bigint,h:bigint>>>"
     start = F.struct(cells.alias("cells"), F.array().alias("found")).cast(kind)
 
     def ready(c: Column) -> Column:
         return (F.abs(c["n"]) == 1) & (F.xxhash64(c["k"], F.lit(_SALT)) == c["h"])
 
+    def without(state: Column, pure: Column) -> Column:
+        if_empty = F.size(pure) == 0
+        placed = F.transform(pure, lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"), x["h"].alias("h"), *_cells(x["h"])))
+
+        def left(c: Column, i: Column, gone: Column) -> Column:
+            own = F.filter(gone, lambda x: _has(x, i))
+            return F.aggregate(own, c, lambda s, x: _cell(s["n"] - x["n"], s["k"].bitwiseXOR(x["k"]), s["h"].bitwiseXOR(x["h"])))
+
+        freed = F.aggregate(F.array(placed), state["cells"], lambda s, gone: F.transform(s, lambda c, i: left(c, i, gone)))
+        return F.when(if_empty, state).otherwise(F.struct(freed.alias("cells"), F.concat(state["found"], pure).alias("found")))
+
     def step(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.transform(F.filter(state["cells"], ready), lambda c: F.struct(c["k"].alias("k"), c["h"].alias("h"), c["n"].alias("n"))))
-        return F.when(F.exists(state["cells"], ready), _without(state, pure)).otherwise(state)
+        pure = F.array_distinct(F.filter(state["cells"], ready))
+        return F.aggregate(F.array(pure), state, without)
+
+    def finish(state: Column) -> Column:
+        return F.when(~F.exists(state["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0)), state["found"])
 
-    def _without(state: Column, pure: Column) -> Column:
-        left = F.transform(state["cells"], lambda c, i: _fold(c, pure, i, lambda x: -x["n"]))
-        return F.struct(left.alias("cells"), F.concat(state["found"], pure).alias("found")).cast(kind)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, finish)
 
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0)), s["found"]))
-    return end
+
+def _groups(keys: Column, tables: int, visit) -> Column:
+    """visit(part of a, part of b) for each table, as an array; many tables are parted in two steps. keys: struct of both lists."""
+
+    def parted(both: Column, n: int, shift: int, then) -> Column:
+        def part(x: Column, g: Column) -> Column:
+            return F.filter(x, lambda k: F.shiftright(k["g"], shift).bitwiseAND(F.lit(n - 1)) == g)
+
+        def one(g: Column) -> Column:
+            here = F.array(F.struct(part(both["x"], g).alias("x"), part(both["y"], g).alias("y")))
+            return F.element_at(F.transform(here, then), 1)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one)
+
+    if tables <= 64:
+        return parted(keys, tables, 0, visit)
+    return F.flatten(parted(keys, 64, 0, lambda both: parted(both, tables // 64, 6, visit)))
 
 
 def difference(a: Column, b: Column, tables: int) -> Column:
-    """How many digests one of two digest lists has alone, by sketches of so many tables; null if peeling fails."""
+    """How many digests one of two lists has alone, by sketches of so many tables; null if peeling fails."""
 
-    def one(g: Column | None) -> Column:
-        own, other = (x if g is None else F.filter(x, lambda k: _group(k["h"], tables) == g) for x in (a, b))
-        return F.size(peel(subtract(table(own), table(other))))
+    def alone(both: Column) -> Column:
+        found = F.coalesce(F.array_size(peel(subtract(table(both["x"]), table(both["y"])))), F.lit(-1))
+        return F.when((F.size(both["x"]) == 0) & (F.size(both["y"]) == 0), 0).otherwise(found)
 
-    if tables == 1:
-        return one_or_null(one(None))
-    sizes = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(tables - 1).cast("long")), one)
+    sizes = _groups(F.struct(a.alias("x"), b.alias("y")), tables, alone)
     return F.aggregate(sizes, F.lit(0), lambda s, x: F.when((s >= 0) & (x >= 0), s + x).otherwise(-1), lambda s: F.when(s >= 0, s))
 
 
-def one_or_null(size: Column) -> Column:
-    """size() of null is -1 or null by setting; both mean failure."""
-    return F.when(size >= 0, size)
-
+def differing(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
+    """How many digests one of two lists has alone, from the first try that peels.
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness of two digest lists from the recovered difference: the first try that peels; 1 for two empty ones."""
+    The first try subtracts the one-table sketches cells_a and cells_b.
+    """
     total = F.size(a) + F.size(b)
-    # a try whose tables would hold over 20 digests each for certain is not made
-    at_least = F.abs(F.size(a) - F.size(b))
-    tries = [F.when(at_least <= 20 * t, difference(a, b, t)) for t in TRIES]
+    first = F.when(F.abs(F.size(a) - F.size(b)) <= CELLS, F.array_size(peel(subtract(cells_a, cells_b))))
+    tries = [first, *[F.when(total <= LOAD * t, difference(a, b, t)) for t in TRIES[1:]]]
     keys = [F.transform(x, lambda s: s["k"]) for x in (a, b)]
     exact = F.size(F.array_except(*keys)) + F.size(F.array_except(*reversed(keys)))
-    delta = F.coalesce(*tries, exact)
+    return F.coalesce(*tries, exact)
+
+
+def likeness(a: Column, b: Column, delta: Column) -> Column:
+    """Jaccard likeness of two digest lists that differ in delta digests; 1 for two empty ones."""
+    total = F.size(a) + F.size(b)
     return F.when(total == 0, 1.0).otherwise((total - delta) / (total + delta))
 
 
@@ -145,8 +169,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     the next document's text by doc_id; the first follows the last. Rows: (doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_paragraphs).
 
-    A paragraph ends at a newline or after a sentence's end; paragraphs count once and blank ones not at
-    all. A fingerprint is the sketch of the first try; equal texts have equal ones. near_edited and
+    A paragraph is a line without its outer spaces; paragraphs count once and blank ones not at all. A fingerprint is the sketch of the first try; equal texts have equal ones. near_edited and
     near_next are Jaccard likenesses of paragraph sets from the digests recovered by subtracting
     sketches. Null text counts as empty; two empty texts are alike (1). A row without doc_id has no
     next document: nothing replaces its second half, and near_next is its likeness to an empty text.
@@ -158,7 +181,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.coalesce("head", F.lit("")), F.lit(1), half))
-    none = F.array().cast("array<struct<k:bigint,h:bigint>>")
+    none = F.array().cast(_KEYS)
     keyed = joined.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
@@ -166,13 +189,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         digests(F.col("text")).alias("keys"),
         F.coalesce("next_keys", none).alias("next_keys"),
     ).select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("edited")).alias("edited_keys"), "keys", "next_keys")
-    return keyed.select(
+    sketched = keyed.select("*", *[table(F.col(c)).alias(f"{c}_cells") for c in ("keys", "edited_keys", "next_keys")])
+    compared = sketched.select(
+        "*", *[differing(F.col("keys"), F.col(c), F.col("keys_cells"), F.col(f"{c}_cells")).alias(f"{c}_delta") for c in ("edited_keys", "next_keys")]
+    )
+    return compared.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        fingerprint(table(F.col("keys"))).alias("fingerprint"),
-        fingerprint(table(F.col("edited_keys"))).alias("edited_fingerprint"),
-        likeness(F.col("keys"), F.col("edited_keys")).alias("near_edited"),
-        likeness(F.col("keys"), F.col("next_keys")).alias("near_next"),
+        fingerprint(F.col("keys_cells")).alias("fingerprint"),
+        fingerprint(F.col("edited_keys_cells")).alias("edited_fingerprint"),
+        likeness(F.col("keys"), F.col("edited_keys"), F.col("edited_keys_delta")).alias("near_edited"),
+        likeness(F.col("keys"), F.col("next_keys"), F.col("next_keys_delta")).alias("near_next"),
         F.size("keys").cast("long").alias("n_paragraphs"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from koinea.llm import html_text, iblt, langid, licenses, linededup, minhash, mixing, sentencepieces
+from koinea.llm import html_text, iblt, langid, licenses, linededup, lm, minhash, mixing, sentencepieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,6 +93,12 @@ def op7(spark, sf_dir):
     )
 
 
+@_query("op8_lm_scoring")
+def op8(spark, sf_dir):
+    """Log probabilities of every document under a deleted-interpolation bigram model."""
+    return lm.score_texts(_documents(spark, sf_dir))
+
+
 @_query(
     "op9_source_mixing",
     rf"""
