@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from koinea.llm import html_text, iblt, langid, licenses, linededup, lm, minhash, mixing, sentencepieces
+from koinea.llm import bm25, html_text, iblt, langid, licenses, linededup, lm, minhash, mixing, sentencepieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,6 +85,27 @@ def op5(spark, sf_dir):
     return iblt.fingerprints(_documents(spark, sf_dir))
 
 
+@_query(
+    "op6_exact_top_k",
+    rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM w),
+p AS (SELECT doc_id, dl, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+s AS (SELECT q.doc_id AS query_id, p.doc_id, sum(q.tf * ln(1 + (n.n - df + 0.5) / (df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / n.a))) AS score
+  FROM p q JOIN f USING (term) JOIN p USING (term), n WHERE q.doc_id % 20 = 0 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10
+""",
+)
+def op6(spark, sf_dir):
+    """The ten best documents for every document whose id is divisible by 20."""
+    docs = _documents(spark, sf_dir)
+    asked = docs.where(F.col("doc_id") % 20 == 0).withColumnRenamed("doc_id", "query_id")
+    return bm25.top_k(docs, asked).withColumn("score", F.round("score", 6))
+
+
 @_query("op7_line_dedup")
 def op7(spark, sf_dir):
     """Lines deleted from every document, and a digest of what stays."""
