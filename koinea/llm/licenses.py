@@ -35,7 +35,7 @@ TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
-THRESHOLD = (4, 5)  # a template is contained if so much of its token set is in the block
+THRESHOLD = (9, 10)  # a template is contained if so much of its token set is in the block
 
 _WORD = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
 
