@@ -22,7 +22,7 @@ from koinea.llm import _kernel as K
 from koinea.llm._tables import written
 from koinea.llm.langid import held_out
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 BUCKETS = 40
 _STEPS, _LEVELS = 8, 400  # log2 steps and levels of the histogram that EM works on
 _START, _END = np.uint64(0x51A7), np.uint64(0xE4D)
@@ -31,6 +31,35 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BLOCK = "block long, vocab binary, " + ", ".join(f"ids{k} binary, flags{k} binary, sizes{k} binary, tokens{k} binary" for k in (0, 1))
 
 
+def _put(x: np.ndarray) -> bytes:
+    """An array as bytes: its values' bytes by place, compressed."""
+    x = np.ascontiguousarray(x)
+    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
+
+def _get(data: bytes, kind) -> np.ndarray:
+    size, item = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    if not size:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(item, size // item).T).view(kind).ravel()
+
+
+def _put_sorted(x: np.ndarray) -> bytes:
+    return _put(np.diff(x, prepend=np.uint64(0)))
+
+
+def _get_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_get(data, np.uint64), dtype=np.uint64)
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, one at a time."""
+    for n in range(batch.num_rows):
+        yield batch.slice(n, 1).to_pylist()[0]
+
+
 def _bigrams(hashes: np.ndarray, previous: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return K.mix(hashes[previous] * _A + hashes[tokens] * _B)
@@ -55,12 +84,12 @@ def _packer(size: int):
             ids, flags, sizes, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
             vocab, tokens = np.unique(np.concatenate([hashes, [_START]]), return_inverse=True)
             tokens = tokens[:-1].astype(np.int32)
-            columns = [pa.array([serial], pa.int64()), pa.array([vocab.tobytes()], pa.binary())]
+            columns = [pa.array([serial], pa.int64()), pa.array([_put_sorted(vocab)], pa.binary())]
             of = np.repeat(flags == 2, sizes)
             for deleted in (False, True):
                 mine = (flags == 2) == deleted
                 parts = (ids[mine], flags[mine], sizes[mine].astype(np.int32), tokens[of == deleted])
-                columns += [pa.array([x.tobytes()], pa.binary()) for x in parts]
+                columns += [pa.array([_put(x)], pa.binary()) for x in parts]
             serial, total = serial + 1, 0
             held.clear()
             return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _BLOCK.split(", ")])
@@ -83,39 +112,48 @@ def _packer(size: int):
 
 
 def _asker(parts: int):
-    """Requests (kind, part, block, keys, kept, deleted): kind 1 for words, 2 for bigrams, sorted by hash, dealt by its top bits."""
+    """Requests (kind, part, block, keys, kept, deleted): kind 1 for words, 2 for bigrams, sorted by hash, dealt by its top bits.
+
+    Kind 3 asks nothing: it has the places of a block's deleted tokens (context, bigram, word) for EM.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                vocab = np.frombuffer(row["vocab"], np.uint64)
-                start = int(np.searchsorted(vocab, _START))
-                counts, pairs = [], []
-                for k in (0, 1):
-                    tokens, sizes = np.frombuffer(row[f"tokens{k}"], np.int32), np.frombuffer(row[f"sizes{k}"], np.int32)
-                    learn = np.repeat(np.frombuffer(row[f"flags{k}"], np.int8) != 1, sizes)
-                    counts.append(np.bincount(tokens[learn], minlength=len(vocab)))
-                    pairs.append((_bigrams(vocab, _previous(tokens, sizes, start), tokens), learn))
-                keys, at = np.unique(np.concatenate([p for p, _ in pairs]), return_inverse=True)
-                cut = len(pairs[0][0])
-                two = [np.bincount(at[s][learn], minlength=len(keys)) for s, (_, learn) in zip((slice(0, cut), slice(cut, None)), pairs, strict=True)]
-                # starts count as contexts: one for each learned text
-                for k in (0, 1):
-                    counts[k][start] = int((np.frombuffer(row[f"flags{k}"], np.int8) != 1).sum())
-                for kind, own, (kept, deleted) in ((1, vocab, counts), (2, keys, two)):
-                    edges = [*np.searchsorted(own, _edges(parts)), len(own)]
-                    for p in range(parts):
-                        s = slice(edges[p], edges[p + 1])
-                        if edges[p] < edges[p + 1]:
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([kind], pa.int32()), pa.array([p], pa.int32()), pa.array([row["block"]], pa.int64())]
-                                + [pa.array([x], pa.binary()) for x in (own[s].tobytes(), kept[s].astype(np.uint32).tobytes(), deleted[s].astype(np.uint32).tobytes())],
-                                names=["kind", "part", "block", "keys", "kept", "deleted"],
-                            )
+        names = ["kind", "part", "block", "keys", "kept", "deleted"]
+
+        def request(kind: int, part: int, block: int, *payload: bytes) -> pa.RecordBatch:
+            head = [pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([block], pa.int64())]
+            return pa.RecordBatch.from_arrays(head + [pa.array([x], pa.binary()) for x in payload], names=names)
+
+        for row in (row for batch in batches for row in _rows(batch)):
+            vocab, two = _get_sorted(row["vocab"]), [_tokens(row, k) for k in (0, 1)]
+            start = int(np.searchsorted(vocab, _START))
+            before = [_previous(tokens, sizes, start) for tokens, sizes, _ in two]
+            keys, at = np.unique(np.concatenate([_bigrams(vocab, b, t[0]) for b, t in zip(before, two, strict=True)]), return_inverse=True)
+            at = np.split(at, [len(before[0])])
+            words, pairs = [], []
+            for (tokens, sizes, flags), own in zip(two, at, strict=True):
+                learn = np.repeat(flags != 1, sizes)
+                words.append(np.bincount(tokens[learn], minlength=len(vocab)))
+                words[-1][start] = (flags != 1).sum()  # as contexts, starts count once for each learned text
+                pairs.append(np.bincount(own[learn], minlength=len(keys)))
+            for kind, own, (kept, deleted) in ((1, vocab, words), (2, keys, pairs)):
+                edges = [*np.searchsorted(own, _edges(parts)), len(own)]
+                for p in range(parts):
+                    s = slice(edges[p], edges[p + 1])
+                    if edges[p] < edges[p + 1]:
+                        yield request(kind, p, row["block"], _put_sorted(own[s]), _put(kept[s].astype(np.uint32)), _put(deleted[s].astype(np.uint32)))
+            if len(at[1]):
+                places = np.concatenate([before[1], at[1], two[1][0]]).astype(np.int32)
+                yield request(3, row["block"] % parts, row["block"], b"", _put(places), b"")
 
     return ask
 
 
+def _tokens(row: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of kind k as places in the block's vocabulary, the texts' sizes, and their flags."""
+    return _get(row[f"tokens{k}"], np.int32), _get(row[f"sizes{k}"], np.int32), _get(row[f"flags{k}"], np.int8)
+
+
 def _edges(parts: int) -> np.ndarray:
     """The first hash of each part."""
     return np.array([(k << 64) // parts for k in range(parts)], np.uint64)
@@ -123,23 +161,27 @@ def _edges(parts: int) -> np.ndarray:
 
 def _answer(group: pa.Table) -> pa.Table:
     """Adds up the requests of one part and answers each; block -1 holds the part's sums."""
-    keys = [np.frombuffer(x, np.uint64) for x in group.column("keys").to_pylist()]
-    kept, deleted = (np.concatenate([np.frombuffer(x, np.uint32) for x in group.column(c).to_pylist()]).astype(np.float64) for c in ("kept", "deleted"))
-    values, at = np.unique(np.concatenate(keys), return_inverse=True)
-    r, d = np.bincount(at, kept).astype(np.int64), np.bincount(at, deleted).astype(np.int64)
-    real = values != _START
-    stats = np.array([r[real].sum(), (r[real] > 0).sum(), (r + d)[real].sum(), ((r + d)[real] > 0).sum()], np.int64)
-    ends = np.cumsum([len(k) for k in keys])
     kind, part = group.column("kind")[0].as_py(), group.column("part")[0].as_py()
-    blocks = [*group.column("block").to_pylist(), -1]
-    spans = [at[e - len(k) : e] for k, e in zip(keys, ends, strict=True)]
+    blocks = group.column("block").to_pylist()
+    if kind == 3:
+        answers = [(x, b"") for x in group.column("kept").to_pylist()]
+    else:
+        keys = [_get_sorted(x) for x in group.column("keys").to_pylist()]
+        kept, deleted = (np.concatenate([_get(x, np.uint32) for x in group.column(c).to_pylist()]).astype(np.float64) for c in ("kept", "deleted"))
+        values, at = np.unique(np.concatenate(keys), return_inverse=True)
+        r, d = np.bincount(at, kept).astype(np.int64), np.bincount(at, deleted).astype(np.int64)
+        real = values != _START
+        stats = np.array([r[real].sum(), (r[real] > 0).sum(), (r + d)[real].sum(), ((r + d)[real] > 0).sum()], np.int64)
+        spans = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
+        answers = [(_put(r[s]), _put((r + d)[s])) for s in spans] + [(stats.tobytes(), b"")]
+        blocks = [*blocks, -1]
     return pa.table(
         {
             "kind": pa.array([kind] * len(blocks), pa.int32()),
             "part": pa.array([part] * len(blocks), pa.int32()),
             "block": pa.array(blocks, pa.int64()),
-            "kept": pa.array([*[r[s].tobytes() for s in spans], stats.tobytes()], pa.binary()),
-            "total": pa.array([*[(r + d)[s].tobytes() for s in spans], b""], pa.binary()),
+            "kept": pa.array([a for a, _ in answers], pa.binary()),
+            "total": pa.array([a for _, a in answers], pa.binary()),
         }
     )
 
@@ -148,23 +190,9 @@ _ANSWER = "kind int, part int, block long, kept binary, total binary"
 
 
 def _counts(answers: pa.Table, kind: int, column: str) -> np.ndarray:
-    rows = sorted((p, x) for k, p, x in zip(answers.column("kind").to_pylist(), answers.column("part").to_pylist(), answers.column(column).to_pylist(), strict=True) if k == kind)
-    return np.frombuffer(b"".join(x for _, x in rows), np.int64)
-
-
-def _estimates(row: dict, answers: pa.Table, k: int, column: str):
-    """For each token of kind k: context count, bigram count, word count; and the texts' sizes."""
-    vocab = np.frombuffer(row["vocab"], np.uint64)
-    start = int(np.searchsorted(vocab, _START))
-    words, pairs = _counts(answers, 1, column), _counts(answers, 2, column)
-    tokens, sizes = np.frombuffer(row[f"tokens{k}"], np.int32), np.frombuffer(row[f"sizes{k}"], np.int32)
-    before = _previous(tokens, sizes, start)
-    both = [_bigrams(vocab, before, tokens)]
-    other, other_sizes = np.frombuffer(row[f"tokens{1 - k}"], np.int32), np.frombuffer(row[f"sizes{1 - k}"], np.int32)
-    both.append(_bigrams(vocab, _previous(other, other_sizes, start), other))
-    keys = np.unique(np.concatenate(both))
-    n = pairs[np.searchsorted(keys, both[0])]
-    return words[before], n, words[tokens], sizes
+    kinds, parts = answers.column("kind").to_pylist(), answers.column("part").to_pylist()
+    rows = sorted((p, n) for n, (k, p) in enumerate(zip(kinds, parts, strict=True)) if k == kind)
+    return np.concatenate([np.zeros(0, np.int64), *[_get(answers.column(column)[n].as_py(), np.int64) for _, n in rows]])
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -177,13 +205,15 @@ def _level(p: np.ndarray) -> np.ndarray:
 
 
 def _histogram(n_kept: int):
-    def make(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        cells = np.zeros(0, np.int64)
-        for row in blocks.to_pylist():
-            context, pair, word, _ = _estimates(row, answers, 1, "kept")
-            p2, p1 = pair / np.maximum(context, 1), word / max(1, n_kept)
-            cells = np.concatenate([cells, (_bucket(context) * _LEVELS + _level(p2)) * _LEVELS + _level(p1)])
-        found, n = np.unique(cells, return_counts=True)
+    def make(answers: pa.Table) -> pa.Table:
+        places = [x for k, x in zip(answers.column("kind").to_pylist(), answers.column("kept").to_pylist(), strict=True) if k == 3]
+        found, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if places:
+            before, pair, word = _get(places[0], np.int32).reshape(3, -1)
+            words, pairs = _counts(answers, 1, "kept"), _counts(answers, 2, "kept")
+            context = words[before]
+            p2, p1 = pairs[pair] / np.maximum(context, 1), words[word] / max(1, n_kept)
+            found, n = np.unique((_bucket(context) * _LEVELS + _level(p2)) * _LEVELS + _level(p1), return_counts=True)
         return pa.table({"cell": pa.array(found, pa.int64()), "n": pa.array(n, pa.int64())})
 
     return make
@@ -218,17 +248,24 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 def _scorer(weights: np.ndarray, n: int, v: int):
     def score(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = []
-        for row in blocks.to_pylist():
-            for k in (0, 1):
-                context, pair, word, sizes = _estimates(row, answers, k, "total")
+        words, pairs = _counts(answers, 1, "total"), _counts(answers, 2, "total")
+        for row in (row for batch in blocks.to_batches() for row in _rows(batch)):
+            vocab, two = _get_sorted(row["vocab"]), [_tokens(row, k) for k in (0, 1)]
+            start = int(np.searchsorted(vocab, _START))
+            before = [_previous(tokens, sizes, start) for tokens, sizes, _ in two]
+            _, at = np.unique(np.concatenate([_bigrams(vocab, b, t[0]) for b, t in zip(before, two, strict=True)]), return_inverse=True)
+            for k, own in enumerate(np.split(at, [len(before[0])])):
+                tokens, sizes, flags = two[k]
                 if not len(sizes):
                     continue
+                context, word = words[before[k]], words[tokens]
                 w = weights[np.minimum(_bucket(context), BUCKETS - 1)]
-                p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(1, n) + w[:, 2] / (v + 1)
+                p = w[:, 0] * pairs[own] / np.maximum(context, 1) + w[:, 1] * word / max(1, n) + w[:, 2] / (v + 1)
                 base = np.log10((word + 1) / (n + v + 1))
-                at = np.cumsum(sizes) - sizes
-                flags, ids = np.frombuffer(row[f"flags{k}"], np.int8), np.frombuffer(row[f"ids{k}"], np.int64)
-                out.append([ids, flags == 1, sizes.astype(np.int64), np.add.reduceat((word > 0).astype(np.int64), at), np.full(len(ids), n), np.add.reduceat(base, at), np.add.reduceat(np.log10(p), at)])
+                first = np.cumsum(sizes) - sizes
+                ids = _get(row[f"ids{k}"], np.int64)
+                known = np.add.reduceat((word > 0).astype(np.int64), first)
+                out.append([ids, flags == 1, sizes.astype(np.int64), known, np.full(len(ids), n), np.add.reduceat(base, first), np.add.reduceat(np.log10(p), first)])
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 7
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
@@ -268,9 +305,9 @@ def score_texts(docs: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> DataFrame
         stats += np.frombuffer(r.kept, np.int64)
     n_kept, v_kept, n_all, v_all = (int(x) for x in stats)
     own = answers.where("block >= 0")
-    deleted = packed.where(F.length("tokens1") > 0).groupBy("block").cogroup(own.select("kind", "part", "block", "kept").groupBy("block"))
+    deleted = own.select("kind", "part", "block", "kept").groupBy("block")
     # at most BUCKETS * _LEVELS**2 cells whatever the corpus, and far fewer in use
     cells = deleted.applyInArrow(_histogram(n_kept), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     weights = fit_weights([(r.cell, r.n) for r in cells], v_kept)
-    both = packed.groupBy("block").cogroup(own.select("kind", "part", "block", "total").groupBy("block"))
+    both = packed.groupBy("block").cogroup(own.where("kind < 3").select("kind", "part", "block", "total").groupBy("block"))
     return both.applyInArrow(_scorer(weights, n_all, v_all), _SCORES)
