@@ -20,6 +20,10 @@ from koinea.llm import _kernel as K
 from koinea.llm._tables import written
 from koinea.llm.components import components
 
+#: Buckets up to this size are compared pair by pair; members of larger ones in blocks of BLOCK documents.
+SMALL_BUCKET = 9
+BLOCK = 256
+
 _SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"
 
 
@@ -140,11 +144,11 @@ def near_duplicates(
     A pair whose similarity is exactly at a threshold of 0.85 shares no band with probability
     (1 - 0.85**7)**30 = 9e-6, less for similar pairs; ``miss`` bounds what each Bayesian batch loses.
 
-    Equal shingle sets form one class before any pair is made. In a bucket, the pairs with one hub
-    are made first: the member that shares most buckets with others. Once hubs have merged
-    components, only pairs between different components are left, with 8 times as many hubs in each
-    round, until every pair of a bucket is either compared or inside one component. No pair is
-    given up for the size of its bucket.
+    Equal shingle sets form one class before any pair is made. In each bucket, the pairs with one hub
+    are verified first: the member that shares most buckets with others. Then only pairs between
+    different components are left: small buckets make them one by one, large ones compare blocks of
+    documents and return a spanning forest of the links found. No pair is given up for the size of
+    its bucket.
 
     Null or blank text: n_shingles 0, linked with nothing, its own component. Null doc_id: the row is
     returned with its n_shingles, a null component and kept false. Rows that repeat a doc_id are one
@@ -197,30 +201,21 @@ def near_duplicates(
     star = members.join(hubs, "bucket").where("id <> hub.id").select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
     links = written(verified(star))
     found = written(components(links))
-    done, take = 1, 8
-    live = members
-    while True:
-        live = live.select("bucket", "id", "place", *(["rank"] if done > 1 else [])).join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_buckets = live.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where(F.col("x") < F.col("y")).where(F.col("n") > done + 1)
-        live = live.join(open_buckets.select("bucket"), "bucket", "left_semi")
-        if done == 1:
-            live = live.withColumn("rank", F.row_number().over(_in_bucket()))
-        live = written(live)
-        if live.isEmpty():
-            break
-        heads = live.where((F.col("rank") > done) & (F.col("rank") <= done + take)).select(
-            "bucket", F.col("id").alias("b"), F.col("rank").alias("rank_b"), F.col("component").alias("component_b")
-        )
-        pairs = (
-            live.where(F.col("rank") > done)
-            .join(heads, "bucket")
-            .where("rank > rank_b and component <> component_b")
-            .select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b"))
-            .distinct()
-        )
-        links = written(links.unionByName(verified(pairs)))
-        found = written(components(links))
-        done, take = done + take, take * 8
+    live = written(
+        members.select("bucket", "id")
+        .join(found, "id", "left")
+        .withColumn("component", F.coalesce("component", "id"))
+        .join(sets.select("id", F.size("items").alias("n")), "id")
+    )
+    spread = live.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x < y and m > 2")
+    small = live.join(spread.where(F.col("m") <= SMALL_BUCKET).select("bucket"), "bucket", "left_semi")
+    other = small.select("bucket", F.col("id").alias("b"), F.col("component").alias("component_b"), F.col("n").alias("n_b"))
+    alike = F.least("n", "n_b") * F.lit(down) >= F.greatest("n", "n_b") * F.lit(up)
+    pairs = small.join(other, "bucket").where(F.col("id") > F.col("b")).where("component <> component_b").where(alike).select(F.col("id").alias("a"), "b").distinct()
+    large = live.join(spread.where(F.col("m") > SMALL_BUCKET).select("bucket"), "bucket", "left_semi")
+    more = verified(pairs).unionByName(_within_large(written(large), sigs, sets, steps, up, down))
+    links = written(links.unionByName(more))
+    found = written(components(links))
     named = signed.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
     # a repeated doc_id with different texts joins their classes
     alias = usable.select(F.col("doc_id"), "k1", "k2").join(classes, ["k1", "k2"]).groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
@@ -233,7 +228,90 @@ def near_duplicates(
     )
 
 
-def _in_bucket():
-    from pyspark.sql import Window
 
-    return Window.partitionBy("bucket").orderBy("place")
+def _within_large(live: DataFrame, sigs: DataFrame, sets: DataFrame, steps: tuple, up: int, down: int) -> DataFrame:
+    """Links (a, b) that join different components among documents that share a large bucket.
+
+    Documents that share large buckets, directly or over others, are one crowd. Those outside its
+    largest component are compared with all of it, in blocks of BLOCK documents against BLOCK, so the
+    work of a task is bounded. A block returns a spanning forest of its links, not its pairs.
+    """
+    hub = live.groupBy("bucket").agg(F.min("id").alias("b"))
+    crowds = components(live.join(hub, "bucket").select(F.col("id").alias("a"), "b").distinct()).withColumnRenamed("component", "crowd")
+    people = written(live.select("id", "component").distinct().join(crowds, "id"))
+    parts = people.groupBy("crowd", "component").agg(F.count("*").alias("m"))
+    shape = parts.groupBy("crowd").agg(F.sum("m").alias("everyone"), F.max("m").alias("most"), F.max_by("component", "m").alias("main"))
+    people = people.join(shape, "crowd").join(sigs, "id").join(sets, "id")
+    inner, outer = F.ceil((F.col("everyone") - F.col("most")) / BLOCK).cast("int"), F.ceil(F.col("everyone") / BLOCK).cast("int")
+
+    def spot(blocks):
+        return F.pmod(F.xxhash64("id"), blocks).cast("int")
+
+    def dealt(rows: DataFrame, own, other, asks: bool) -> DataFrame:
+        mine, theirs = spot(own), F.explode(F.sequence(F.lit(0), other - 1))
+        names = ("x", "y") if asks else ("y", "x")
+        return rows.select("crowd", mine.alias(names[0]), theirs.alias(names[1]), F.lit(asks).alias("asks"), "id", "component", "sig", "items")
+
+    asking = people.where("component <> main")
+    both = dealt(asking, inner, outer, True).unionByName(dealt(people, outer, inner, False))
+    return both.groupBy("crowd", "x", "y").applyInArrow(_block_linker(steps, up, down), "a long, b long")
+
+
+def _block_linker(steps: tuple, up: int, down: int):
+    size = steps[-1][0]
+
+    def link(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        asks = np.array(block.column("asks").to_pylist(), bool)
+        ids, component = block.column("id").to_numpy(), block.column("component").to_numpy()
+        sig = np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint16).reshape(len(ids), size)
+        items = [np.asarray(x.values) for x in block.column("items")]
+        rows, cols = np.flatnonzero(asks), np.flatnonzero(~asks)
+        stay = component[rows][:, None] != component[cols][None, :]
+        if len(rows) and len(cols) and stay.any():
+            matches, done = np.zeros(stay.shape, np.int32), 0
+            for n, least in steps:
+                for k in range(done, n):
+                    matches += sig[rows, k][:, None] == sig[cols, k][None, :]
+                stay &= matches >= least
+                done = n
+                if not stay.any():
+                    break
+            stay = _confirmed(stay, [items[r] for r in rows], [items[c] for c in cols], up, down)
+        parent = {int(c): int(c) for c in component}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        out: list[tuple[int, int]] = []
+        for r, c in zip(*np.nonzero(stay), strict=True):
+            p, q = root(int(component[rows[r]])), root(int(component[cols[c]]))
+            if p != q:
+                parent[p] = q
+                out.append((int(ids[rows[r]]), int(ids[cols[c]])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return link
+
+
+def _confirmed(stay: np.ndarray, left: list[np.ndarray], right: list[np.ndarray], up: int, down: int) -> np.ndarray:
+    """The pairs of stay whose full sets reach the similarity; overlaps are summed over slices of the tokens."""
+    if not stay.any():
+        return stay
+    n_left, n_right = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    tokens = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(len(left) + len(right)), np.concatenate([n_left, n_right]))
+    values, place = np.unique(tokens, return_inverse=True)
+    overlap = np.zeros(stay.shape, np.float32)
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    for lo in range(0, len(values), 4096):
+        i, j = np.searchsorted(place, [lo, lo + 4096])
+        part = np.zeros((len(left) + len(right), min(4096, len(values) - lo)), np.float32)
+        part[owner[i:j], place[i:j] - lo] = 1
+        overlap += part[: len(left)] @ part[len(left) :].T
+    both = overlap.astype(np.int64)
+    return stay & (both * down >= (n_left[:, None] + n_right[None, :] - both) * up)
