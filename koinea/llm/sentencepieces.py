@@ -6,16 +6,19 @@ rebuilt from it. Batches are encoded by the library's own threads.
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
+THREADS = 2  # of the library in one Python worker, where the environment does not say
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 # Fixed values of the public sentencepiece_model.proto: model types and piece types.
@@ -151,6 +154,7 @@ def model_bytes(path: str = DEFAULT_MODEL) -> bytes:
 
 def _encoder(data: bytes, verify: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         model, tokenizer = _loaded(data)
         check = None
         if verify:
@@ -159,9 +163,8 @@ def _encoder(data: bytes, verify: bool):
             check = sentencepiece.SentencePieceProcessor(model_proto=data)
         fallback = {i for i, p in enumerate(model.pieces) if p[2] == BYTE}
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in _slices(texts):
-                part = texts[lo:hi]
+            for lo, hi in _slices(batch.column(1)):
+                part = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 ids = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
                 same = [None] * len(part)
                 if check is not None:
@@ -183,10 +186,11 @@ def _encoder(data: bytes, verify: bool):
     return encode
 
 
-def _slices(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``limit`` bytes each, or one longer text; only one range is held as Python objects."""
     lo = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
+    for k, n in enumerate(pc.binary_length(texts).to_pylist()):
+        size += n or 0
         if size >= limit:
             yield lo, k + 1
             lo, size = k + 1, 0
