@@ -11,7 +11,9 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -146,6 +148,54 @@ def _loaded(data: bytes):
     return model, build_tokenizer(model)
 
 
+def _plain_decoder(model: PieceModel, tokenizer):
+    """A function from lists of ids that spell no marker in byte pieces to texts: the library joins the pieces, the markers become spaces at once."""
+    from tokenizers import Tokenizer, decoders
+
+    joiner = Tokenizer.from_str(tokenizer.to_str())
+    joiner.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse()])
+    skip = 1 if model.dummy_prefix else 0
+
+    def decode(ids: list[list[int]]) -> list[str]:
+        texts = (t.replace(MARK, " ") for t in joiner.decode_batch(ids, skip_special_tokens=False))
+        return [t[skip:] if t.startswith(" ") else t for t in texts]
+
+    return decode
+
+
+@lru_cache(maxsize=2)
+def _decoder(data: bytes):
+    """Which pieces are bytes, and a function from lists of ids, also given flat, to texts.
+
+    Lists with the first byte of a marker as a byte piece pass all steps of the model's decoder.
+    """
+    model, tokenizer = _loaded(data)
+    is_byte, plain = np.array([p[2] == BYTE for p in model.pieces]), _plain_decoder(model, tokenizer)
+    may_spell = np.array([p[2] == BYTE and p[0] == f"<0x{MARK.encode()[0]:02X}>" for p in model.pieces])
+
+    def decode(ids: list[list[int]], flat: np.ndarray, at: np.ndarray) -> list[str]:
+        spelled = _marked(may_spell[flat], at)
+        whole = [k for k, n in enumerate(spelled) if n]
+        texts = plain([[] if n else x for x, n in zip(ids, spelled, strict=True)])
+        for k, text in zip(whole, tokenizer.decode_batch([ids[k] for k in whole], skip_special_tokens=False), strict=True):
+            texts[k] = text
+        return texts
+
+    return is_byte, decode
+
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and the n+1 places where each list begins."""
+    at = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum([len(x) for x in ids], out=at[1:])
+    return np.fromiter(chain.from_iterable(ids), np.int32, at[-1]), at
+
+
+def _marked(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many flags are set in each list."""
+    return np.diff(np.concatenate([[0], np.cumsum(flags)])[at])
+
+
 def model_bytes(path: str = DEFAULT_MODEL) -> bytes:
     """The model file's bytes, read on the driver; executors get them with the task."""
     with open(path, "rb") as f:
@@ -155,13 +205,13 @@ def model_bytes(path: str = DEFAULT_MODEL) -> bytes:
 def _encoder(data: bytes, verify: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
-        model, tokenizer = _loaded(data)
+        tokenizer = _loaded(data)[1]
+        is_byte, back_to_text = _decoder(data)
         check = None
         if verify:
             import sentencepiece
 
             check = sentencepiece.SentencePieceProcessor(model_proto=data)
-        fallback = {i for i, p in enumerate(model.pieces) if p[2] == BYTE}
         for batch in batches:
             for lo, hi in _slices(batch.column(1)):
                 part = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
@@ -171,12 +221,14 @@ def _encoder(data: bytes, verify: bool):
                     expected = check.encode(part, num_threads=1)
                     same = [a == b for a, b in zip(ids, expected, strict=True)]
                     ids = expected if not all(same) else ids
-                back = tokenizer.decode_batch(ids, skip_special_tokens=False)
+                flat, at = _flat(ids)
+                n_bytes = _marked(is_byte[flat], at)
+                back = back_to_text(ids, flat, at)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo).cast(pa.int64()),
-                        pa.array(ids, pa.list_(pa.int32())),
-                        pa.array([sum(map(fallback.__contains__, x)) for x in ids], pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(at), pa.array(flat)),
+                        pa.array(n_bytes, pa.int64()),
                         pa.array([a == b for a, b in zip(back, part, strict=True)], pa.bool_()),
                         pa.array(same, pa.bool_()),
                     ],
@@ -217,10 +269,11 @@ def decode(tokens: DataFrame, *, model: bytes | None = None) -> DataFrame:
     data = model_bytes() if model is None else model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _loaded(data)[1]
+        back_to_text = _decoder(data)[1]
         for batch in batches:
             ids = batch.column(1).to_pylist()
-            back = tokenizer.decode_batch([x or [] for x in ids], skip_special_tokens=False)
+            own = [x or [] for x in ids]
+            back = back_to_text(own, *_flat(own))
             text = [None if x is None else t for x, t in zip(ids, back, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], names=["doc_id", "text"])
 

@@ -120,6 +120,19 @@ def test_sentencepiece_parity_and_round_trip(spark):
     assert [r.text for r in back.orderBy("doc_id").collect()] == [t or "" for t in texts]
 
 
+def test_decoding_of_spelled_markers_and_any_ids(spark):
+    data = sentencepieces.model_bytes()
+    model, tokenizer = sentencepieces._loaded(data)
+    place = {p[0]: i for i, p in enumerate(model.pieces)}
+    mark = [place[f"<0x{b:02X}>"] for b in "▁".encode()]
+    draw = np.random.default_rng(1)
+    lists = [mark, [place["▁"], *mark, place["▁"]], [], [place["▁"]] * 2, mark[1:], *draw.integers(3, 32000, (40, 30)).tolist()]
+    frame = spark.createDataFrame(list(enumerate(lists)), "doc_id long, ids array<int>")
+    rows = sentencepieces.decode(frame).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == tokenizer.decode_batch(lists, skip_special_tokens=False)
+    assert rows[0].text == "▁"
+
+
 def test_unigram_models_are_rebuilt():
     pieces = [("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("b", -2.0, 1), ("▁ab", -1.5, 1)]
 
