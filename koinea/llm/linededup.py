@@ -1,9 +1,9 @@
-"""Line deduplication by winnowing over line hashes, in DataFrame functions only.
+"""Line deduplication by hashes of shortest passages, in DataFrame functions only.
 
-The minima of windows over a document's line hashes are its fingerprints: two documents that share a
-run of ``window`` lines share one of them. Fingerprint positions are joined with the first document
-that holds the fingerprint, matches are extended both ways over equal lines, and later repeated runs
-are deleted.
+The fingerprints of a document are its shortest passages of enough words: for each line, the one that
+starts and the one that ends there. They are held against the first document with the same passage.
+Any repeated run with enough words is the union of such passages, so none is missed, and no pair of
+documents is compared.
 """
 
 from __future__ import annotations
@@ -14,84 +14,69 @@ from pyspark.sql import functions as F
 from koinea.llm._tables import written
 from koinea.llm.mixing import word_count
 
-_BLANK = (1 << 60) - 1
 
+def _length(words: Column, least: int) -> Column:
+    """How many of the first items sum up to ``least``; 0 if all do not."""
+    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("n"))
+    step = lambda s, x: F.when(s["total"] >= least, s).otherwise(F.struct((s["total"] + x).alias("total"), (s["n"] + 1).alias("n")))
+    return F.aggregate(words, start, step, lambda s: F.when(s["total"] >= least, s["n"]).otherwise(0))
 
-def _line_hash(line: Column, start: int) -> Column:
-    return F.conv(F.substring(F.md5(line), start, 15), 16, 10).cast("long")
 
-
-def _fingerprints(hashes: Column, counts: Column, window: int, long_words: int) -> Column:
-    """Positions of window minima (the last of equal ones) and of lines with long_words words at least."""
-    n = F.size(hashes)
-    starts = F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))
-
-    def lowest(s: Column) -> Column:
-        part = F.slice(hashes, s + 1, window)
-        back = F.reverse(part)
-        return s + F.size(part) - F.array_position(back, F.array_min(part)).cast("int")
-
-    minima = F.transform(starts, lowest)
-    longs = F.filter(F.sequence(F.lit(0), n - 1), lambda p: F.get(counts, p) >= long_words)
-    return F.array_distinct(F.concat(minima, longs))
+def _passages(words: Column, least: int) -> Column:
+    """Structs (at, n) of the shortest runs with ``least`` words that start or end at each item; each item has a word."""
+    forth = F.transform(words, lambda x, i: F.struct(i.alias("at"), _length(F.slice(words, i + 1, least), least).alias("n")))
+    tails = F.transform(
+        words,
+        lambda x, i: F.struct(
+            i.alias("at"),
+            _length(F.reverse(F.slice(words, F.greatest(i - least + 2, F.lit(1)), F.least(i + 1, F.lit(least)))), least).alias("n"),
+        ),
+    )
+    back = F.transform(tails, lambda s: F.struct((s["at"] - s["n"] + 1).alias("at"), s["n"].alias("n")))
+    return F.array_distinct(F.filter(F.concat(forth, back), lambda s: s["n"] > 0))
 
 
-def repeated_runs(docs: DataFrame, *, window: int = 4, min_words: int = 50) -> DataFrame:
+def repeated_runs(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
     """Rows (doc_id, text_key, position) of the lines that dedupe_lines() deletes."""
     base = docs.where("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text")).alias("text_key"), F.split(F.col("text"), "\n", -1).alias("lines")
     )
-    clean = F.transform("lines", lambda x: F.trim(x))
-    base = base.withColumn("lines", clean).select(
+    base = base.withColumn("lines", F.transform("lines", lambda x: F.trim(x))).select(
+        "doc_id", "text_key", "lines", F.transform("lines", lambda x: word_count(x).cast("int")).alias("counts")
+    )
+    places = F.transform("counts", lambda x, i: i)
+    base = base.select(
         "doc_id",
         "text_key",
-        "lines",
-        F.transform("lines", lambda x: F.when(x == "", F.lit(_BLANK)).otherwise(_line_hash(x, 1))).alias("hashes"),
-        F.transform("lines", lambda x: word_count(x).cast("int")).alias("counts"),
-    )
-    spots = _fingerprints(F.col("hashes"), F.col("counts"), window, min_words)
-    first_in_doc = F.filter(spots, lambda p: (F.get("hashes", p) != _BLANK) & (F.array_position("hashes", F.get("hashes", p)) == p + 1))
-    within = F.filter(
-        F.sequence(F.lit(0), F.size("hashes") - 1), lambda p: F.array_position("hashes", F.get("hashes", p)) <= p
-    )
-    base = written(
-        base.select(
-            "doc_id",
-            "text_key",
-            "hashes",
-            "counts",
-            within.alias("within"),
-            F.transform(first_in_doc, lambda p: F.struct(p.alias("p"), F.get("hashes", p).alias("h"), _line_hash(F.get("lines", p), 16).alias("g"))).alias("prints"),
-        )
+        "counts",
+        F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"),
+        F.filter(places, lambda p: F.get("counts", p) > 0).alias("full"),
+        F.filter("lines", lambda x, i: F.get("counts", i) > 0).alias("texts"),
+        F.filter("counts", lambda x: x > 0).alias("words"),
+        F.filter(places, lambda p: F.get("counts", p) == 0).alias("blank"),
+    ).withColumn("passages", _passages(F.col("words"), min_words))
+    prints = F.transform(
+        "passages",
+        lambda s: F.struct(
+            F.get("full", s["at"]).alias("p"),
+            F.get("full", s["at"] + s["n"] - 1).alias("e"),
+            F.unhex(F.md5(F.array_join(F.slice("texts", s["at"] + 1, s["n"]), "\n"))).alias("key"),
+        ),
     )
-    prints = base.select("doc_id", "text_key", F.explode("prints").alias("f")).select("doc_id", "text_key", "f.p", "f.h", "f.g")
-    first = (
-        prints.groupBy("h", "g")
-        .agg(F.min("doc_id").alias("first_id"), F.min_by("p", "doc_id").alias("first_p"), F.max("doc_id").alias("last_id"))
-        .where("first_id < last_id")
-        .drop("last_id")
-    )
-    diagonals = (
-        prints.join(first, ["h", "g"]).where("doc_id > first_id").select("doc_id", "text_key", "first_id", (F.col("p") - F.col("first_p")).alias("shift")).distinct()
-    )
-    other = base.select(F.col("doc_id").alias("first_id"), F.col("hashes").alias("first_hashes"))
-    own = base.select("doc_id", "text_key", "hashes", "counts")
-    low, high = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("hashes"), F.size("first_hashes") + F.col("shift")) - 1
-    on_both = F.when(
-        low <= high, F.filter(F.sequence(low, high), lambda p: F.get("hashes", p) == F.get("first_hashes", p - F.col("shift")))
-    )
-    matched = (
-        diagonals.join(other, "first_id").join(own, ["doc_id", "text_key"]).select("doc_id", "text_key", F.explode(on_both).alias("position"))
-    )
-    touched = matched.unionByName(base.where(F.size("within") > 0).select("doc_id", "text_key", F.explode("within").alias("position")))
-    blank = base.select(
-        "doc_id", "text_key", F.explode(F.filter(F.sequence(F.lit(0), F.size("hashes") - 1), lambda p: F.get("hashes", p) == _BLANK)).alias("position")
+    within = F.filter(F.transform("hashes", lambda x, i: i), lambda p: F.array_position("hashes", F.get("hashes", p)) <= p)
+    base = written(base.select("doc_id", "text_key", "counts", "blank", within.alias("within"), prints.alias("prints")))
+    spots = base.select("doc_id", "text_key", F.explode("prints").alias("f")).select("doc_id", "text_key", "f.*")
+    first = spots.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
+    later = spots.join(first, "key").where("doc_id > first_id")
+    spans = later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("p", "e")).alias("spans"))
+    met = base.drop("prints").join(spans, ["doc_id", "text_key"], "left").where("spans is not null or size(within) > 0")
+    matched = F.when(F.col("spans").isNull(), F.array().cast("array<int>")).otherwise(
+        F.flatten(F.transform("spans", lambda s: F.sequence(s["p"], s["e"])))
     )
     covered = (
-        touched.unionByName(blank)
-        .distinct()
-        .join(base.select("doc_id", "text_key", "counts"), ["doc_id", "text_key"])
+        met.select("doc_id", "text_key", "counts", F.explode(F.array_distinct(F.concat(matched, "within", "blank"))).alias("position"))
         .select("doc_id", "text_key", "position", F.get("counts", F.col("position")).alias("words"))
+        .distinct()
     )
     row = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("position"))
     runs = covered.withColumn("run", F.col("position") - row)
@@ -99,22 +84,21 @@ def repeated_runs(docs: DataFrame, *, window: int = 4, min_words: int = 50) -> D
     return runs.withColumn("total", total).where(F.col("total") >= min_words).select("doc_id", "text_key", "position")
 
 
-def dedupe_lines(docs: DataFrame, *, window: int = 4, min_words: int = 50) -> DataFrame:
+def dedupe_lines(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
     """docs(doc_id, text, ...) with repeated runs of lines taken out of text; adds n_lines, n_deleted, deleted_words.
 
     Lines end at a newline and are compared without outer spaces. A line is repeated if it stands
-    earlier in its own document, or if it lies on an extended match with an earlier document (smaller
-    doc_id): the match starts at a shared fingerprint, whose earliest holder is the partner, and takes
-    in the lines that are equal at the same distance. Neighbouring repeated lines, blank ones between
-    them included, form a run, which is deleted if it has at least ``min_words`` words. Lines with so
-    many words are always fingerprints; of shorter lines, any ``window`` in a row hold one.
+    earlier in its own document, or if it lies in a passage of at least ``min_words`` words that also
+    stands, line by line, in an earlier document (smaller doc_id), whichever that is. Lines without
+    words are skipped when passages are compared. Neighbouring repeated lines, those without words
+    between them included, form a run, which is deleted if it has at least ``min_words`` words.
 
     Null text stays null, with no lines; an empty text is one blank line; rows without doc_id neither
     give nor lose lines; rows that repeat a doc_id count as one document and are not matched with each
     other. Other columns stay as they are, but for those named like the three added. An empty table
     gives an empty result.
     """
-    gone = repeated_runs(docs, window=window, min_words=min_words).groupBy(
+    gone = repeated_runs(docs, min_words=min_words).groupBy(
         F.col("doc_id").alias("_line_id"), F.col("text_key").alias("_line_key")
     ).agg(F.collect_set("position").alias("_line_gone"))
     plain = docs.drop("n_lines", "n_deleted", "deleted_words")

@@ -219,6 +219,21 @@ def test_line_dedup_deletes_later_runs_only(spark):
     assert out[1].deleted_words == 60 and out[1].n_deleted == 1
 
 
+def line_texts(rng, n, size, tag):
+    return [" ".join(f"{tag}{x}" for x in rng.integers(0, 10**6, size)) for _ in range(n)]
+
+
+def test_line_dedup_finds_passages_of_two_or_three_lines(spark):
+    rng, texts = np.random.default_rng(5), []
+    for k in range(60):
+        shared = line_texts(rng, *((2, 30) if k % 2 else (3, 20)), "s")
+        for side in "ab":
+            texts.append("\n".join(line_texts(rng, 3, 12, side) + shared + line_texts(rng, 3, 12, side)))
+    out = {r.doc_id: r for r in linededup.dedupe_lines(documents(spark, texts)).collect()}
+    assert all(out[i].n_deleted == 0 for i in range(0, 120, 2))
+    assert all(out[i].n_deleted == (2 if i // 2 % 2 else 3) and out[i].deleted_words == 60 for i in range(1, 120, 2))
+
+
 def test_lm_scores_match_brute_force(spark):
     texts = corpus(60) + ["", None, "unseen Word"]
     out = {r.doc_id: r for r in lm.score_texts(documents(spark, texts), block_bytes=3000).collect()}
