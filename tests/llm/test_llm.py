@@ -234,6 +234,24 @@ def test_line_dedup_finds_passages_of_two_or_three_lines(spark):
     assert all(out[i].n_deleted == (2 if i // 2 % 2 else 3) and out[i].deleted_words == 60 for i in range(1, 120, 2))
 
 
+def test_line_dedup_finds_every_holder_and_lines_between_common_ones(spark):
+    rng = np.random.default_rng(6)
+    common, texts = [f"common line {k}" for k in range(40)], []
+    texts.append("\n".join(common))
+    for k in range(40):
+        shared = line_texts(rng, 6, 11, "s")
+        shared.insert(3, common[k])
+        texts += ["\n".join(line_texts(rng, 2, 9, side) + shared + line_texts(rng, 2, 9, side)) for side in "ab"]
+    for mark in ("#", "Reply", "Read more"):
+        shared = [x for line in line_texts(rng, 6, 15, "s") for x in (line, mark)]
+        texts += ["\n".join([mark] + line_texts(rng, 3 if side == "a" else 5, 9, side) + shared + line_texts(rng, 2, 9, side)) for side in "ab"]
+    out = {r.doc_id: r for r in linededup.dedupe_lines(documents(spark, texts)).collect()}
+    for i in range(1, len(texts), 2):
+        assert out[i].text == texts[i]
+        deleted = "\n".join(texts[i + 1].split("\n")[-2:])
+        assert out[i + 1].text.endswith(deleted) and out[i + 1].n_deleted == (7 if i < 81 else 12)
+
+
 def test_lm_scores_match_brute_force(spark):
     texts = corpus(60) + ["", None, "unseen Word"]
     out = {r.doc_id: r for r in lm.score_texts(documents(spark, texts), block_bytes=3000).collect()}
