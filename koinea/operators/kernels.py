@@ -232,7 +232,8 @@ def weighted_distances(pairs: DataFrame, costs: Mapping, prefixes: Mapping | Non
                 x["alignment"] = [{"src": s, "tgt": t} for s, t in x["alignment"]]
             yield pd.DataFrame(found, columns=names)
 
-    unique = pairs.select(*keys).dropna().distinct().withColumn("result", run(*keys))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    unique = pairs.select(*keys).dropna().distinct().repartition(parts, *keys).withColumn("result", run(*keys))
     return pairs.join(unique, keys, "left")
 
 

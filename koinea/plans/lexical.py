@@ -272,16 +272,17 @@ def blank_block_segment(spark, d):
     return A.blank_blocks(lines, "doc_id", "i", "line").groupBy("doc_id", "block").agg(F.count("*").alias("lines"))
 
 
-def _sample_words(spark, d):
-    return docs(spark, d).select("doc_id", F.explode(F.slice(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 2), 1, 6)).alias("w")).select(
-        F.col("w").alias("src"), F.reverse("w").alias("tgt")
-    )
+def _word_pairs(spark, d):
+    """Each distinct word of all texts, once, with its reversal; dealt out by number, as words are few bytes but much work."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 2)
+    return docs(spark, d).select(F.explode(words).alias("src")).distinct().repartition(parts, "src").select("src", F.reverse("src").alias("tgt"))
 
 
 @query("spelling_alignment")
 def spelling_alignment(spark, d):
     """Character alignment of words with their reversals; checked against goldens in the tests."""
-    pairs = _sample_words(spark, d).distinct()
+    pairs = _word_pairs(spark, d)
     return pairs.select("src", "tgt", F.transform(kernels.spelling_alignments(F.col("src"), F.col("tgt")), lambda x: F.concat(x["src"], F.lit(">"), x["tgt"])).alias("p")).select(
         "src", "tgt", F.array_join("p", " ").alias("alignment")
     )
@@ -291,7 +292,7 @@ def spelling_alignment(spark, d):
 def letter_phoneme_alignment(spark, d):
     """Letters against phonemes, with a mapping that hears each letter as itself."""
     mapping = {chr(c): (chr(c),) for c in range(97, 123)}
-    words = _sample_words(spark, d).select("src").distinct()
+    words = _word_pairs(spark, d).select("src")
     phones = words.select("src", F.array_join(F.split("src", ""), " ").alias("phonemes"))
     aligned = kernels.letter_phoneme_alignments(F.col("src"), F.col("phonemes"), mapping)
     return phones.select("src", F.size(aligned).cast("long").alias("n"), F.size(F.filter(aligned, lambda x: x["src"] == x["tgt"])).cast("long").alias("hits"))
@@ -301,6 +302,6 @@ def letter_phoneme_alignment(spark, d):
 def augmented_distance(spark, d):
     """Weighted distance of words and their reversals with cheap vowels; checked against goldens in the tests."""
     costs = {(a, "X", b, "Y"): 0.2 for a in "aeiou" for b in "aeiou" if a != b}
-    pairs = _sample_words(spark, d).distinct().withColumns({"d_src": F.lit("X"), "d_tgt": F.lit("Y")})
+    pairs = _word_pairs(spark, d).withColumns({"d_src": F.lit("X"), "d_tgt": F.lit("Y")})
     found = kernels.weighted_distances(pairs, costs)
     return found.select("src", "tgt", "result.distance_before", "result.distance_after", "result.normalized")

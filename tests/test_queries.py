@@ -41,6 +41,15 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, str(DATA)).count() > 0
 
 
+@pytest.mark.parametrize("name", ["spelling_alignment", "letter_phoneme_alignment", "augmented_distance"])
+def test_kernels_see_every_word(spark, tmp_path, name):
+    texts = ["one two three four five six seven eight nine ten", "ten eleven"]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    found = [r.src for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted(set(" ".join(texts).split()))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
