@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from koinea.llm import _kernel as K
+
 MARK = "▁"
 THREADS = 2  # of the library in one Python worker, where the environment does not say
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -142,46 +144,134 @@ def _merges(model: PieceModel, vocabulary: dict[str, int]) -> list[tuple[str, st
     return [(x[4], x[5]) for x in sorted(found)]
 
 
-@lru_cache(maxsize=2)
-def _loaded(data: bytes):
-    model = parse_model(data)
-    return model, build_tokenizer(model)
-
-
-def _plain_decoder(model: PieceModel, tokenizer):
-    """A function from lists of ids that spell no marker in byte pieces to texts: the library joins the pieces, the markers become spaces at once."""
-    from tokenizers import Tokenizer, decoders
+class Codec:
+    """A model's tokenizers and the bytes of its pieces.
 
-    joiner = Tokenizer.from_str(tokenizer.to_str())
-    joiner.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse()])
-    skip = 1 if model.dummy_prefix else 0
+    ``quick`` splits at markers by plain character search. It has the same ids as ``tokenizer`` for texts
+    whose spaces are single and inside, if the model normalises nothing.
+    """
 
-    def decode(ids: list[list[int]]) -> list[str]:
-        texts = (t.replace(MARK, " ") for t in joiner.decode_batch(ids, skip_special_tokens=False))
-        return [t[skip:] if t.startswith(" ") else t for t in texts]
+    def __init__(self, model: PieceModel) -> None:
+        self.model, self.tokenizer, self.quick = model, build_tokenizer(model), None
+        self.by_word = words_stand_alone(model) and not model.charsmap and not model.squeeze_spaces and model.dummy_prefix and model.escape_spaces and model.byte_fallback
+        if self.by_word:
+            from tokenizers import pre_tokenizers
+
+            self.quick = build_tokenizer(model)
+            self.quick.normalizer = None
+            self.quick.pre_tokenizer = pre_tokenizers.Metaspace(MARK, prepend_scheme="always", split=True)
+        self.is_byte = np.array([p[2] == BYTE for p in model.pieces])
+        raw = [bytes([int(p[0][3:5], 16)]) if p[2] == BYTE else p[0].replace(MARK, " ").encode() for p in model.pieces]
+        self.sizes = np.array([len(x) for x in raw], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(raw), np.uint8)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, the n+1 places where each text's begin, and which texts have single inner spaces only."""
+        plain = np.array([self.by_word and single_spaces(t) for t in texts], bool)
+        ids: list[list[int]] = [[]] * len(texts)
+        for engine, own in ((self.quick, np.flatnonzero(plain)), (self.tokenizer, np.flatnonzero(~plain))):
+            if len(own):
+                for k, e in zip(own, engine.encode_batch_fast([texts[k] for k in own], add_special_tokens=False), strict=True):
+                    ids[k] = e.ids
+        return *_flat(ids), plain
+
+    def spelled(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that ids spell, and the n+1 places where each list's begin; the space of the model's own prefix is left out."""
+        sizes = self.sizes[flat]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        data = self.bytes[np.repeat(self.starts[flat] - ends[:-1], sizes) + np.arange(ends[-1])]
+        edges = ends[at]
+        if self.model.dummy_prefix and len(data):
+            first = edges[:-1][np.diff(edges) > 0]
+            first = first[data[first] == 32]
+            stay = np.ones(len(data), bool)
+            stay[first] = False
+            data, edges = data[stay], edges - np.searchsorted(first, edges)
+        return data, edges
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        """Texts of lists of ids; lists whose bytes are no UTF-8 are decoded by the library."""
+        data, edges = self.spelled(*_flat(ids))
+        out = []
+        for k, x in enumerate(ids):
+            try:
+                out.append(data[edges[k] : edges[k + 1]].tobytes().decode())
+            except UnicodeDecodeError:
+                out.append(self.tokenizer.decode(x, skip_special_tokens=False))
+        return out
+
+    def round_trips(self, flat: np.ndarray, at: np.ndarray, texts: list[str], raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether decoding each list of ids gives its text back; raw has the texts' bytes from offsets on."""
+        data, edges = self.spelled(flat, at)
+        same = np.diff(edges) == np.diff(offsets)
+        if same.all() and np.array_equal(data, raw):
+            return same
+        for k in np.flatnonzero(same):
+            same[k] = np.array_equal(data[edges[k] : edges[k + 1]], raw[offsets[k] : offsets[k + 1]])
+        for k in np.flatnonzero(~same):
+            same[k] = self.tokenizer.decode(flat[at[k] : at[k + 1]].tolist(), skip_special_tokens=False) == texts[k]
+        return same
+
+
+def single_spaces(text: str) -> bool:
+    """Whether all spaces stand single and inside, and no marker is in the text."""
+    return bool(text) and text[0] != " " and text[-1] != " " and "  " not in text and MARK not in text
+
+
+class Parity:
+    """Compares ids with SentencePiece's own.
+
+    Where no piece crosses words and spaces stand single and inside, SentencePiece's ids of a text are
+    those of its words in order, so it encodes each distinct word once; any other text it encodes whole.
+    """
 
-    return decode
+    WORDS = 1 << 18  # words whose ids are held at once
+
+    def __init__(self, data: bytes) -> None:
+        import sentencepiece
+
+        self.engine = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        flat, at = _flat(self.engine.encode(words, num_threads=1))
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.at = np.concatenate([self.at, at[1:] + self.at[-1]])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def check(self, texts: list[str], plain: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether each text's ids are SentencePiece's."""
+        same = np.zeros(len(texts), bool)
+        whole = np.flatnonzero(~plain)
+        for k, own in zip(whole, self.engine.encode([texts[k] for k in whole], num_threads=1), strict=True):
+            same[k] = np.array_equal(flat[at[k] : at[k + 1]], np.array(own, np.int32))
+        words = [texts[k].split(" ") for k in np.flatnonzero(plain)]
+        if not words:
+            return same
+        if len(self.place) > self.WORDS:
+            self._clear()
+        fresh = [w for w in set(chain.from_iterable(words)) if w not in self.place]
+        if fresh:
+            self._learn(fresh)
+        n = np.array([len(w) for w in words])
+        place = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), np.int64, n.sum())
+        lo, sizes = self.at[place], self.at[place + 1] - self.at[place]
+        ends = np.cumsum(sizes)
+        expected = self.flat[np.repeat(lo - (ends - sizes), sizes) + np.arange(ends[-1])]
+        edges = np.concatenate([[0], ends[np.cumsum(n) - 1]])
+        for j, k in enumerate(np.flatnonzero(plain)):
+            same[k] = np.array_equal(flat[at[k] : at[k + 1]], expected[edges[j] : edges[j + 1]])
+        return same
 
 
 @lru_cache(maxsize=2)
-def _decoder(data: bytes):
-    """Which pieces are bytes, and a function from lists of ids, also given flat, to texts.
-
-    Lists with the first byte of a marker as a byte piece pass all steps of the model's decoder.
-    """
-    model, tokenizer = _loaded(data)
-    is_byte, plain = np.array([p[2] == BYTE for p in model.pieces]), _plain_decoder(model, tokenizer)
-    may_spell = np.array([p[2] == BYTE and p[0] == f"<0x{MARK.encode()[0]:02X}>" for p in model.pieces])
-
-    def decode(ids: list[list[int]], flat: np.ndarray, at: np.ndarray) -> list[str]:
-        spelled = _marked(may_spell[flat], at)
-        whole = [k for k, n in enumerate(spelled) if n]
-        texts = plain([[] if n else x for x, n in zip(ids, spelled, strict=True)])
-        for k, text in zip(whole, tokenizer.decode_batch([ids[k] for k in whole], skip_special_tokens=False), strict=True):
-            texts[k] = text
-        return texts
-
-    return is_byte, decode
+def codec(data: bytes) -> Codec:
+    return Codec(parse_model(data))
 
 
 def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -205,32 +295,20 @@ def model_bytes(path: str = DEFAULT_MODEL) -> bytes:
 def _encoder(data: bytes, verify: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
-        tokenizer = _loaded(data)[1]
-        is_byte, back_to_text = _decoder(data)
-        check = None
-        if verify:
-            import sentencepiece
-
-            check = sentencepiece.SentencePieceProcessor(model_proto=data)
+        own = codec(data)
+        parity = Parity(data) if verify else None
         for batch in batches:
             for lo, hi in _slices(batch.column(1)):
-                part = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
-                ids = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-                same = [None] * len(part)
-                if check is not None:
-                    expected = check.encode(part, num_threads=1)
-                    same = [a == b for a, b in zip(ids, expected, strict=True)]
-                    ids = expected if not all(same) else ids
-                flat, at = _flat(ids)
-                n_bytes = _marked(is_byte[flat], at)
-                back = back_to_text(ids, flat, at)
+                column = batch.column(1).slice(lo, hi - lo)
+                part = [t or "" for t in column.to_pylist()]
+                flat, at, plain = own.encode(part)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo).cast(pa.int64()),
                         pa.ListArray.from_arrays(pa.array(at), pa.array(flat)),
-                        pa.array(n_bytes, pa.int64()),
-                        pa.array([a == b for a, b in zip(back, part, strict=True)], pa.bool_()),
-                        pa.array(same, pa.bool_()),
+                        pa.array(_marked(own.is_byte[flat], at), pa.int64()),
+                        pa.array(own.round_trips(flat, at, part, *K.text_bytes(column))),
+                        pa.array(parity.check(part, plain, flat, at)) if parity else pa.nulls(len(part), pa.bool_()),
                     ],
                     names=["doc_id", "ids", "n_byte_tokens", "round_trip", "parity"],
                 )
@@ -238,7 +316,7 @@ def _encoder(data: bytes, verify: bool):
     return encode
 
 
-def _slices(texts: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about ``limit`` bytes each, or one longer text; only one range is held as Python objects."""
     lo = size = 0
     for k, n in enumerate(pc.binary_length(texts).to_pylist()):
@@ -254,9 +332,9 @@ def encode(docs: DataFrame, *, model: bytes | None = None, verify: bool = True)
     """docs(doc_id, text) as token ids: rows (doc_id, ids, n_byte_tokens, round_trip, parity).
 
     Whole texts are encoded with the vocabulary's ids, without special tokens. round_trip: decoding
-    gives the text back. parity: SentencePiece itself has the same ids; where it differs, its ids are
-    returned and parity is false. Null and empty texts have no ids. Strings of special tokens in a text
-    are ordinary text. Other columns are ignored; an empty table gives an empty result.
+    gives the text back. parity: SentencePiece itself has the same ids (null without verify). Null and
+    empty texts have no ids. Strings of special tokens in a text are ordinary text. Other columns are
+    ignored; an empty table gives an empty result.
     """
     data = model_bytes() if model is None else model
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -269,11 +347,10 @@ def decode(tokens: DataFrame, *, model: bytes | None = None) -> DataFrame:
     data = model_bytes() if model is None else model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        back_to_text = _decoder(data)[1]
+        own = codec(data)
         for batch in batches:
             ids = batch.column(1).to_pylist()
-            own = [x or [] for x in ids]
-            back = back_to_text(own, *_flat(own))
+            back = own.decode([x or [] for x in ids])
             text = [None if x is None else t for x, t in zip(ids, back, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], names=["doc_id", "text"])
 

@@ -2,12 +2,14 @@
 
 import math
 import re
+import struct
 import zlib
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from koinea.llm import bm25, html_text, iblt, langid, licenses, linededup, lm, minhash, mixing, sentencepieces
@@ -121,8 +123,8 @@ def test_sentencepiece_parity_and_round_trip(spark):
 
 
 def test_decoding_of_spelled_markers_and_any_ids(spark):
-    data = sentencepieces.model_bytes()
-    model, tokenizer = sentencepieces._loaded(data)
+    own = sentencepieces.codec(sentencepieces.model_bytes())
+    model, tokenizer = own.model, own.tokenizer
     place = {p[0]: i for i, p in enumerate(model.pieces)}
     mark = [place[f"<0x{b:02X}>"] for b in "▁".encode()]
     draw = np.random.default_rng(1)
@@ -133,8 +135,8 @@ def test_decoding_of_spelled_markers_and_any_ids(spark):
     assert rows[0].text == "▁"
 
 
-def test_unigram_models_are_rebuilt():
-    pieces = [("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("b", -2.0, 1), ("▁ab", -1.5, 1)]
+def unigram_bytes(pieces, bytes_too=False):
+    """A serialised unigram model; no tokenizer is trained."""
 
     def varint(n):
         out = b""
@@ -145,14 +147,55 @@ def test_unigram_models_are_rebuilt():
     def message(number, payload):
         return varint(number << 3 | 2) + varint(len(payload)) + payload
 
-    import struct
+    def flag(number, value):
+        return varint(number << 3) + varint(value)
+
+    def piece(text, score, kind):
+        return message(1, message(1, text.encode()) + varint(2 << 3 | 5) + struct.pack("<f", score) + flag(3, kind))
+
+    rows = [("<unk>", 0.0, 2), *pieces, *[(f"<0x{b:02X}>", -20.0, 6) for b in range(256) if bytes_too]]
+    spec = message(2, flag(3, 1) + (flag(35, 1) if bytes_too else b"")) + message(3, message(1, b"identity") + flag(3, 1) + flag(4, 0) + flag(5, 1))
+    return b"".join(piece(*r) for r in rows) + spec
+
 
-    data = b"".join(message(1, message(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", s) + varint(3 << 3) + varint(k)) for p, s, k in pieces)
-    model = sentencepieces.parse_model(data + message(2, varint(3 << 3) + varint(1)))
-    assert [p[0] for p in model.pieces] == [p[0] for p in pieces] and model.kind == 1
+def test_unigram_models_are_rebuilt():
+    pieces = [("▁a", -1.0, 1), ("b", -2.0, 1), ("▁ab", -1.5, 1)]
+    model = sentencepieces.parse_model(unigram_bytes(pieces))
+    assert [p[0] for p in model.pieces] == ["<unk>", *[p[0] for p in pieces]] and model.kind == 1
     assert sentencepieces.build_tokenizer(model).encode("ab a").tokens == ["▁ab", "▁a"]
 
 
+@pytest.mark.parametrize("across", [False, True])
+def test_unigram_models_agree_with_sentencepiece(spark, across):
+    draw = np.random.default_rng(4)
+    found = {x: float(-draw.uniform(2, 6)) for x in [*"abcdé", "▁"]}
+    while len(found) < 120:
+        found["".join(draw.choice([*"abcdé", "▁"] if across else [*"abcdé"], draw.integers(2, 5)))] = float(-draw.uniform(2, 9))
+        found["▁" + "".join(draw.choice([*"abcdé"], draw.integers(1, 4)))] = float(-draw.uniform(2, 9))
+    data = unigram_bytes([(x, s, 1) for x, s in found.items()], bytes_too=True)
+    texts = ["".join(draw.choice([*"abcdé  zx"], draw.integers(1, 60))) for _ in range(200)] + ["", " ", "  a", "a  ", None, "▁a ▁"]
+    rows = sentencepieces.encode(documents(spark, texts), model=data).orderBy("doc_id").collect()
+    engine = sentencepiece.SentencePieceProcessor(model_proto=data)
+    assert sentencepieces.codec(data).by_word != across
+    assert all(r.parity for r in rows)
+    assert [r.ids for r in rows] == engine.encode([t or "" for t in texts])
+    assert all(r.round_trip for r, t in zip(rows, texts) if "▁" not in (t or ""))
+
+
+def test_parity_finds_other_ids():
+    data = sentencepieces.model_bytes()
+    own, parity = sentencepieces.codec(data), sentencepieces.Parity(data)
+    parity.WORDS = 3
+    for texts in (["one two", "two  three", "", "a b c d"], ["d c", "one two three four"]):
+        flat, at, plain = own.encode(texts)
+        assert parity.check(texts, plain, flat, at).all()
+        for k in range(len(flat)):
+            wrong = flat.copy()
+            wrong[k] += 1
+            same = parity.check(texts, plain, wrong, at)
+            assert [not s for s in same] == [a <= k < b for a, b in zip(at, at[1:])]
+
+
 def page(body, menu="Home"):
     return f'<html><head><title>t</title><script>var x="</p>";</script></head><body><nav><li>{menu}</li></nav><div class="ad">Buy</div>{body}<div class="comments">first!</div><footer>(c)</footer></body></html>'
 
