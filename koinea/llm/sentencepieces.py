@@ -10,7 +10,7 @@ import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import chain
 
 import numpy as np
@@ -147,8 +147,8 @@ def _merges(model: PieceModel, vocabulary: dict[str, int]) -> list[tuple[str, st
 class Codec:
     """A model's tokenizers and the bytes of its pieces.
 
-    ``quick`` splits at markers by plain character search. It has the same ids as ``tokenizer`` for texts
-    whose spaces are single and inside, if the model normalises nothing.
+    ``by_word``: no piece crosses words and nothing is normalised, so that the ids of a text whose spaces
+    are single and inside are those of its words in order. ``quick`` encodes single words.
     """
 
     def __init__(self, model: PieceModel) -> None:
@@ -166,16 +166,6 @@ class Codec:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, the n+1 places where each text's begin, and which texts have single inner spaces only."""
-        plain = np.array([self.by_word and single_spaces(t) for t in texts], bool)
-        ids: list[list[int]] = [[]] * len(texts)
-        for engine, own in ((self.quick, np.flatnonzero(plain)), (self.tokenizer, np.flatnonzero(~plain))):
-            if len(own):
-                for k, e in zip(own, engine.encode_batch_fast([texts[k] for k in own], add_special_tokens=False), strict=True):
-                    ids[k] = e.ids
-        return *_flat(ids), plain
-
     def spelled(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes that ids spell, and the n+1 places where each list's begin; the space of the model's own prefix is left out."""
         sizes = self.sizes[flat]
@@ -201,72 +191,97 @@ class Codec:
                 out.append(self.tokenizer.decode(x, skip_special_tokens=False))
         return out
 
-    def round_trips(self, flat: np.ndarray, at: np.ndarray, texts: list[str], raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Whether decoding each list of ids gives its text back; raw has the texts' bytes from offsets on."""
+    def round_trips(self, flat: np.ndarray, at: np.ndarray, texts: pa.Array) -> np.ndarray:
+        """Whether decoding each list of ids gives its text back."""
         data, edges = self.spelled(flat, at)
+        raw, offsets = K.text_bytes(texts)
         same = np.diff(edges) == np.diff(offsets)
         if same.all() and np.array_equal(data, raw):
             return same
         for k in np.flatnonzero(same):
             same[k] = np.array_equal(data[edges[k] : edges[k + 1]], raw[offsets[k] : offsets[k + 1]])
         for k in np.flatnonzero(~same):
-            same[k] = self.tokenizer.decode(flat[at[k] : at[k + 1]].tolist(), skip_special_tokens=False) == texts[k]
+            same[k] = self.tokenizer.decode(flat[at[k] : at[k + 1]].tolist(), skip_special_tokens=False) == (texts[int(k)].as_py() or "")
         return same
 
 
-def single_spaces(text: str) -> bool:
-    """Whether all spaces stand single and inside, and no marker is in the text."""
-    return bool(text) and text[0] != " " and text[-1] != " " and "  " not in text and MARK not in text
+def single_spaces(texts: pa.Array) -> np.ndarray:
+    """Which texts have a word, only single spaces, all inside, and no marker."""
+    bad = [pc.starts_with(texts, " "), pc.ends_with(texts, " "), pc.match_substring(texts, "  "), pc.match_substring(texts, MARK), pc.equal(texts, "")]
+    plain = pc.invert(reduce(pc.or_, bad)).fill_null(False)
+    return plain.to_numpy(zero_copy_only=False)
 
 
-class Parity:
-    """Compares ids with SentencePiece's own.
+class Encoder:
+    """Encodes texts in batches, and compares the ids with SentencePiece's own.
 
-    Where no piece crosses words and spaces stand single and inside, SentencePiece's ids of a text are
-    those of its words in order, so it encodes each distinct word once; any other text it encodes whole.
+    Where the model goes by word, each distinct word is encoded once, by the library and by SentencePiece,
+    and texts are put together from their words; any other text is encoded whole, by both.
     """
 
-    WORDS = 1 << 18  # words whose ids are held at once
+    WORDS = 1 << 18  # words whose ids are kept for the next batch
 
-    def __init__(self, data: bytes) -> None:
-        import sentencepiece
+    def __init__(self, data: bytes, verify: bool = True) -> None:
+        self.codec, self.check = codec(data), None
+        if verify:
+            import sentencepiece
 
-        self.engine = sentencepiece.SentencePieceProcessor(model_proto=data)
+            self.check = sentencepiece.SentencePieceProcessor(model_proto=data)
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.flat, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        flat, at = _flat(self.engine.encode(words, num_threads=1))
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
-        self.at = np.concatenate([self.at, at[1:] + self.at[-1]])
-        self.flat = np.concatenate([self.flat, flat])
-
-    def check(self, texts: list[str], plain: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Whether each text's ids are SentencePiece's."""
-        same = np.zeros(len(texts), bool)
-        whole = np.flatnonzero(~plain)
-        for k, own in zip(whole, self.engine.encode([texts[k] for k in whole], num_threads=1), strict=True):
-            same[k] = np.array_equal(flat[at[k] : at[k + 1]], np.array(own, np.int32))
-        words = [texts[k].split(" ") for k in np.flatnonzero(plain)]
-        if not words:
-            return same
+        self.flat, self.at, self.same = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def _both(self, engine, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the texts, the n+1 places where each one's begin, and whether they are SentencePiece's."""
+        flat, at = _flat([e.ids for e in engine.encode_batch_fast(texts, add_special_tokens=False)])
+        same = np.ones(len(texts), bool)
+        if self.check is not None:
+            expected, edges = _flat(self.check.encode(texts, num_threads=1))
+            same = np.diff(at) == np.diff(edges)
+            if not same.all() or not np.array_equal(flat, expected):
+                for k in np.flatnonzero(same):
+                    same[k] = np.array_equal(flat[at[k] : at[k + 1]], expected[edges[k] : edges[k + 1]])
+        return flat, at, same
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Where distinct words' ids are kept; words not seen before are encoded."""
+        fresh = [w for w in words if w not in self.place]
+        if fresh:
+            flat, at, same = self._both(self.codec.quick, fresh)
+            self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
+            self.at = np.concatenate([self.at, at[1:] + self.at[-1]])
+            self.flat, self.same = np.concatenate([self.flat, flat]), np.concatenate([self.same, same])
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, the n+1 places where each text's begin, and whether they are SentencePiece's."""
+        plain = single_spaces(texts) if self.codec.by_word else np.zeros(len(texts), bool)
+        same, sizes = np.ones(len(texts), bool), np.zeros(len(texts), np.int64)
+        whole = [texts[int(k)].as_py() or "" for k in np.flatnonzero(~plain)]
+        flat, at, same[~plain] = self._both(self.codec.tokenizer, whole)
+        sizes[~plain] = np.diff(at)
+        if not plain.any():
+            return flat, at, same
         if len(self.place) > self.WORDS:
             self._clear()
-        fresh = [w for w in set(chain.from_iterable(words)) if w not in self.place]
-        if fresh:
-            self._learn(fresh)
-        n = np.array([len(w) for w in words])
-        place = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), np.int64, n.sum())
-        lo, sizes = self.at[place], self.at[place + 1] - self.at[place]
-        ends = np.cumsum(sizes)
-        expected = self.flat[np.repeat(lo - (ends - sizes), sizes) + np.arange(ends[-1])]
-        edges = np.concatenate([[0], ends[np.cumsum(n) - 1]])
-        for j, k in enumerate(np.flatnonzero(plain)):
-            same[k] = np.array_equal(flat[at[k] : at[k + 1]], expected[edges[j] : edges[j + 1]])
-        return same
+        split = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+        words = split.flatten().dictionary_encode()
+        place = self._places(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        lo, n = self.at[place], self.at[place + 1] - self.at[place]
+        ends = np.cumsum(n)
+        own = self.flat[np.repeat(lo - (ends - n), n) + np.arange(ends[-1])]
+        first = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())[:-1]])
+        same[plain] = np.logical_and.reduceat(self.same[place], first)
+        sizes[plain] = np.add.reduceat(n, first)
+        at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        if plain.all():
+            return own, at, same
+        out = np.empty(at[-1], np.int32)
+        of = np.repeat(plain, sizes)
+        out[of], out[~of] = own, flat
+        return out, at, same
 
 
 @lru_cache(maxsize=2)
@@ -295,20 +310,18 @@ def model_bytes(path: str = DEFAULT_MODEL) -> bytes:
 def _encoder(data: bytes, verify: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
-        own = codec(data)
-        parity = Parity(data) if verify else None
+        encoder = Encoder(data, verify)
         for batch in batches:
             for lo, hi in _slices(batch.column(1)):
-                column = batch.column(1).slice(lo, hi - lo)
-                part = [t or "" for t in column.to_pylist()]
-                flat, at, plain = own.encode(part)
+                texts = batch.column(1).slice(lo, hi - lo)
+                flat, at, same = encoder.encode(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo).cast(pa.int64()),
                         pa.ListArray.from_arrays(pa.array(at), pa.array(flat)),
-                        pa.array(_marked(own.is_byte[flat], at), pa.int64()),
-                        pa.array(own.round_trips(flat, at, part, *K.text_bytes(column))),
-                        pa.array(parity.check(part, plain, flat, at)) if parity else pa.nulls(len(part), pa.bool_()),
+                        pa.array(_marked(encoder.codec.is_byte[flat], at), pa.int64()),
+                        pa.array(encoder.codec.round_trips(flat, at, texts)),
+                        pa.array(same) if verify else pa.nulls(hi - lo, pa.bool_()),
                     ],
                     names=["doc_id", "ids", "n_byte_tokens", "round_trip", "parity"],
                 )
@@ -316,16 +329,10 @@ def _encoder(data: bytes, verify: bool):
     return encode
 
 
-def _slices(texts: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about ``limit`` bytes each, or one longer text; only one range is held as Python objects."""
-    lo = size = 0
-    for k, n in enumerate(pc.binary_length(texts).to_pylist()):
-        size += n or 0
-        if size >= limit:
-            yield lo, k + 1
-            lo, size = k + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+def _slices(texts: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``limit`` bytes each, or one longer text."""
+    offsets = K.text_bytes(texts)[1]
+    yield from K.doc_ranges(offsets, limit)
 
 
 def encode(docs: DataFrame, *, model: bytes | None = None, verify: bool = True) -> DataFrame:
