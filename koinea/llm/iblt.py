@@ -2,7 +2,8 @@
 
 A text's paragraph digests go to cells that hold a count, the digests' exclusive or and that of their
 checks. Two versions' cells subtract; cells with one digest left give it up, which frees others. If
-peeling ends with cells that are not empty, it is tried again on a sketch twice as large.
+peeling ends with cells that are not empty, it is tried again larger: the digests of that sketch are
+dealt to four sketches of the same size by further bits of their checks, and so on for those that fail.
 """
 
 from __future__ import annotations
@@ -12,34 +13,35 @@ from pyspark.sql import functions as F
 
 from koinea.llm._tables import numbered
 
-#: Cells of one table: three parts of eight, a digest has one cell in each.
+#: Cells of one sketch: three parts of eight, a digest has one cell in each.
 CELLS, PART = 24, 8
-#: Tables of a sketch at each try; a digest belongs to one table. After the last, digests are compared one by one.
-TRIES = tuple(1 << k for k in range(13))
-#: Digests that a table is expected to hold at the most; smaller tries are not made.
-LOAD = 8
+#: How often a sketch that does not peel is parted in four: 4**18 sketches at the most.
+LEVELS = 18
 ROUNDS = 6
-PARAGRAPH_END = "\n"
+#: Paragraphs: lines, long ones cut after a sentence's end behind 100 characters or after the word at 300.
+PARAGRAPH = r"[^\n]{100,300}?[.!?]+(?=[ \t\n])|[^\n]{300}[^ \t\n]*|[^\n]+"
 _SALT = 7_046_029_254_386_353_131
-_KEYS = "array<struct<k:bigint,h:bigint,a:int,b:int,c:int,g:int>>"
+_KEYS = "array<struct<k:bigint,h:bigint>>"
 
 
 def digests(text: Column) -> Column:
-    """Distinct digests of a text's paragraphs, blank ones left out: digest k, check h, its three cells and table number g."""
-    parts = F.filter(F.transform(F.split(text, PARAGRAPH_END), lambda p: F.trim(p)), lambda p: p != "")
-    hashes = F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
-    checked = F.transform(hashes, lambda k: F.struct(k.alias("k"), F.xxhash64(k, F.lit(_SALT)).alias("h")))
-    return F.transform(checked, lambda x: F.struct(x["k"].alias("k"), x["h"].alias("h"), *_cells(x["h"]), F.shiftrightunsigned(x["h"], 40).cast("int").alias("g")))
+    """Distinct digests of a text's paragraphs without their outer spaces, blank ones left out."""
+    parts = F.filter(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.trim(p)), lambda p: p != "")
+    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
-def _cells(h: Column) -> list[Column]:
-    mask = F.lit(PART - 1).cast("long")
-    bits = [F.shiftrightunsigned(h, 8 * j).bitwiseAND(mask).cast("int") + PART * j for j in range(3)]
-    return [x.alias(n) for x, n in zip(bits, "abc", strict=True)]
+def checked(keys: Column) -> Column:
+    """Structs of digest k and check h."""
+    return F.transform(keys, lambda k: F.struct(k.alias("k"), F.xxhash64(k, F.lit(_SALT)).alias("h")))
 
 
-def _has(x: Column, i: Column) -> Column:
-    return (x["a"] == i) | (x["b"] == i) | (x["c"] == i)
+def _spot(h: Column, j: int) -> Column:
+    """The digest's cell in part j."""
+    return F.shiftrightunsigned(h, 8 * j).bitwiseAND(F.lit(PART - 1).cast("long"))
+
+
+def _bits(h: Column, by: Column) -> Column:
+    return F.call_function("shiftrightunsigned", h, by)
 
 
 def _cell(n: Column, k: Column, h: Column) -> Column:
@@ -47,14 +49,17 @@ def _cell(n: Column, k: Column, h: Column) -> Column:
 
 
 def table(keys: Column) -> Column:
-    """The cells of one table: how many digests, and the exclusive or of digests and of checks."""
+    """The cells of one sketch: how many digests, and the exclusive or of digests and of checks."""
     empty = _cell(F.lit(0), F.lit(0), F.lit(0))
 
-    def cell(i: Column) -> Column:
-        own = F.filter(keys, lambda x: _has(x, i))
-        return F.aggregate(own, empty, lambda s, x: _cell(s["n"] + 1, s["k"].bitwiseXOR(x["k"]), s["h"].bitwiseXOR(x["h"])))
+    def part(j: int) -> Column:
+        def cell(i: Column) -> Column:
+            own = F.filter(keys, lambda x: _spot(x["h"], j) == i)
+            return F.aggregate(own, empty, lambda s, x: _cell(s["n"] + 1, s["k"].bitwiseXOR(x["k"]), s["h"].bitwiseXOR(x["h"])))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), cell)
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(PART - 1).cast("long")), cell)
+
+    return F.concat(*[part(j) for j in range(CELLS // PART)])
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -71,19 +76,17 @@ def peel(cells: Column) -> Column:
         return (F.abs(c["n"]) == 1) & (F.xxhash64(c["k"], F.lit(_SALT)) == c["h"])
 
     def without(state: Column, pure: Column) -> Column:
-        if_empty = F.size(pure) == 0
-        placed = F.transform(pure, lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"), x["h"].alias("h"), *_cells(x["h"])))
-
-        def left(c: Column, i: Column, gone: Column) -> Column:
-            own = F.filter(gone, lambda x: _has(x, i))
+        def left(c: Column, i: Column) -> Column:
+            at = (i % PART).cast("long")
+            bits = F.shiftright(i, 3) * 8  # cell i is in part i / 8, whose spot is in these bits of the check
+            own = F.filter(pure, lambda x: _bits(x["h"], bits).bitwiseAND(F.lit(PART - 1).cast("long")) == at)
             return F.aggregate(own, c, lambda s, x: _cell(s["n"] - x["n"], s["k"].bitwiseXOR(x["k"]), s["h"].bitwiseXOR(x["h"])))
 
-        freed = F.aggregate(F.array(placed), state["cells"], lambda s, gone: F.transform(s, lambda c, i: left(c, i, gone)))
-        return F.when(if_empty, state).otherwise(F.struct(freed.alias("cells"), F.concat(state["found"], pure).alias("found")))
+        freed = F.transform(state["cells"], left)
+        return F.when(F.size(pure) == 0, state).otherwise(F.struct(freed.alias("cells"), F.concat(state["found"], pure).alias("found")))
 
     def step(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.filter(state["cells"], ready))
-        return F.aggregate(F.array(pure), state, without)
+        return F.aggregate(F.array(F.array_distinct(F.filter(state["cells"], ready))), state, without)
 
     def finish(state: Column) -> Column:
         return F.when(~F.exists(state["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0)), state["found"])
@@ -91,46 +94,50 @@ def peel(cells: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, finish)
 
 
-def _groups(keys: Column, tables: int, visit) -> Column:
-    """visit(part of a, part of b) for each table, as an array; many tables are parted in two steps. keys: struct of both lists."""
+def _parted(pairs: Column, level: Column) -> Column:
+    """Pairs of digest lists, each in four by two bits of the checks."""
+    bits = F.lit(24) + level * 2
 
-    def parted(both: Column, n: int, shift: int, then) -> Column:
-        def part(x: Column, g: Column) -> Column:
-            return F.filter(x, lambda k: F.shiftright(k["g"], shift).bitwiseAND(F.lit(n - 1)) == g)
+    def four(p: Column) -> Column:
+        def part(x: Column, q: Column) -> Column:
+            return F.filter(x, lambda s: _bits(s["h"], bits).bitwiseAND(F.lit(3).cast("long")) == q)
 
-        def one(g: Column) -> Column:
-            here = F.array(F.struct(part(both["x"], g).alias("x"), part(both["y"], g).alias("y")))
-            return F.element_at(F.transform(here, then), 1)
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")), lambda q: F.struct(part(p["x"], q).alias("x"), part(p["y"], q).alias("y")))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one)
+    return F.flatten(F.transform(pairs, four))
 
-    if tables <= 64:
-        return parted(keys, tables, 0, visit)
-    return F.flatten(parted(keys, 64, 0, lambda both: parted(both, tables // 64, 6, visit)))
 
+def first_difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
+    """How many digests one of two lists has alone, from their sketches; null if these do not peel."""
+    return F.when(F.abs(F.size(a) - F.size(b)) <= CELLS, F.array_size(peel(subtract(cells_a, cells_b))))
 
-def difference(a: Column, b: Column, tables: int) -> Column:
-    """How many digests one of two lists has alone, by sketches of so many tables; null if peeling fails."""
 
-    def alone(both: Column) -> Column:
-        found = F.coalesce(F.array_size(peel(subtract(table(both["x"]), table(both["y"])))), F.lit(-1))
-        return F.when((F.size(both["x"]) == 0) & (F.size(both["y"]) == 0), 0).otherwise(found)
+def larger_difference(a: Column, b: Column) -> Column:
+    """How many digests one of two lists has alone, from the smallest sketches that peel, four at least.
 
-    sizes = _groups(F.struct(a.alias("x"), b.alias("y")), tables, alone)
-    return F.aggregate(sizes, F.lit(0), lambda s, x: F.when((s >= 0) & (x >= 0), s + x).otherwise(-1), lambda s: F.when(s >= 0, s))
+    Pairs whose counts differ by more than the cells cannot peel and are parted without a try. What is
+    left after the last parting, digests with equal checks, counts as different.
+    """
+    state = f"struct<todo:array<struct<x:{_KEYS},y:{_KEYS}>>,n:int>"
+    start = F.struct(_parted(F.array(F.struct(a.alias("x"), b.alias("y"))), F.lit(0)).alias("todo"), F.lit(0).alias("n")).cast(state)
 
+    def tried(p: Column) -> Column:
+        alone = first_difference(p["x"], p["y"], table(p["x"]), table(p["y"]))
+        found = F.when((F.size(p["x"]) == 0) | (F.size(p["y"]) == 0), F.size(p["x"]) + F.size(p["y"])).otherwise(alone)
+        return F.struct(p["x"].alias("x"), p["y"].alias("y"), found.alias("d"))
 
-def differing(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
-    """How many digests one of two lists has alone, from the first try that peels.
+    def step(s: Column, level: Column) -> Column:
+        def after(s: Column, done: Column) -> Column:
+            n = F.aggregate(done, s["n"], lambda t, p: t + F.coalesce(p["d"], F.lit(0)))
+            failed = F.transform(F.filter(done, lambda p: p["d"].isNull()), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+            return F.struct(_parted(failed, level).alias("todo"), n.alias("n"))
 
-    The first try subtracts the one-table sketches cells_a and cells_b.
-    """
-    total = F.size(a) + F.size(b)
-    first = F.when(F.abs(F.size(a) - F.size(b)) <= CELLS, F.array_size(peel(subtract(cells_a, cells_b))))
-    tries = [first, *[F.when(total <= LOAD * t, difference(a, b, t)) for t in TRIES[1:]]]
-    keys = [F.transform(x, lambda s: s["k"]) for x in (a, b)]
-    exact = F.size(F.array_except(*keys)) + F.size(F.array_except(*reversed(keys)))
-    return F.coalesce(*tries, exact)
+        return F.when(F.size(s["todo"]) == 0, s).otherwise(F.aggregate(F.array(F.transform(s["todo"], tried)), s, after))
+
+    def finish(s: Column) -> Column:
+        return F.aggregate(s["todo"], s["n"], lambda t, p: t + F.size(p["x"]) + F.size(p["y"]))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), start, step, finish)
 
 
 def likeness(a: Column, b: Column, delta: Column) -> Column:
@@ -140,23 +147,25 @@ def likeness(a: Column, b: Column, delta: Column) -> Column:
 
 
 def fingerprint(cells: Column) -> Column:
-    """The cells of one table as text: count, digest and check of each."""
+    """The cells of one sketch as text: count, digest and check of each."""
     return F.array_join(F.transform(cells, lambda c: F.concat_ws(":", c["n"].cast("string"), F.hex(c["k"]), F.hex(c["h"]))), " ")
 
 
-def next_heads(docs: DataFrame) -> DataFrame:
+def next_heads(known: DataFrame) -> DataFrame:
     """(prev_id, head, next_keys): of the document after each, as many first characters as half the former's, and its digests.
 
-    The order is that of doc_id; after the last comes the first. Ids are ranked by range partitions, so
-    no task sees all of them, and of the next text only what is needed is moved.
+    The order is that of doc_id, which is never null here; after the last comes the first. Ids are ranked
+    by range partitions, so no task sees all of them, and of the next text only what is needed is moved.
     """
-    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("need"), F.count("*").alias("rows"))
+    ids = known.groupBy("doc_id").agg(F.max(F.length("text")).alias("need"), F.count("*").alias("rows"))
     ranked = numbered(ids, "doc_id", name="place")
     total, most = ranked.agg(F.count("*"), F.max("rows")).first()
     after = ranked.select("doc_id", "place")
     links = ranked.select(F.col("doc_id").alias("prev_id"), "need", (F.when(F.col("place") + 1 == F.lit(total), 0).otherwise(F.col("place") + 1)).alias("place"))
-    links = links.join(after, "place").select("prev_id", "need", "doc_id")
-    heads = docs.join(links, "doc_id").select("prev_id", F.substr("text", F.lit(1), F.floor(F.col("need") / 2).cast("int")).alias("head"), digests(F.col("text")).alias("next_keys"))
+    links = links.join(after, "place").select("prev_id", "need", F.col("doc_id").alias("next_id"))
+    heads = known.join(links.hint("shuffle_hash"), F.col("doc_id") == F.col("next_id")).select(
+        "prev_id", F.substr("text", F.lit(1), F.floor(F.col("need") / 2).cast("int")).alias("head"), digests(F.col("text")).alias("next_keys")
+    )
     if (most or 0) > 1:  # a repeated id: the smallest head stands for it
         heads = heads.groupBy("prev_id").agg(F.min(F.struct("head", "next_keys")).alias("m")).select("prev_id", "m.*")
     return heads
@@ -169,37 +178,41 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     the next document's text by doc_id; the first follows the last. Rows: (doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_paragraphs).
 
-    A paragraph is a line without its outer spaces; paragraphs count once and blank ones not at all. A fingerprint is the sketch of the first try; equal texts have equal ones. near_edited and
-    near_next are Jaccard likenesses of paragraph sets from the digests recovered by subtracting
-    sketches. Null text counts as empty; two empty texts are alike (1). A row without doc_id has no
-    next document: nothing replaces its second half, and near_next is its likeness to an empty text.
-    Rows that repeat a doc_id share the next document; other columns are ignored; an empty table gives
-    an empty result.
+    A paragraph is a line, or a part of a long line (see PARAGRAPH), without its outer spaces; paragraphs
+    count once and blank ones not at all. A fingerprint is the sketch of all paragraph digests; equal
+    texts have equal ones. near_edited and near_next are Jaccard likenesses of paragraph sets: the number
+    of digests that one text alone has comes from subtracting and peeling sketches, larger ones where the
+    fingerprints' own do not peel.
+
+    Null text counts as empty; two empty texts are alike (1). A row without doc_id has no next document:
+    nothing replaces its second half, and near_next is its likeness to an empty text. Rows that repeat a
+    doc_id share the next document; of a next document that repeats, the smallest text counts (a tie of
+    equal texts makes no difference). Other columns are ignored; an empty table gives an empty result.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    joined = source.join(next_heads(source), F.col("doc_id") == F.col("prev_id"), "left")
+    known = source.where("doc_id is not null")  # its one exchange by doc_id serves both joins
+    none = F.array().cast("array<bigint>")
+    joined = known.join(next_heads(known), F.col("doc_id") == F.col("prev_id"), "left").select("doc_id", "text", "head", "next_keys")
+    joined = joined.unionByName(source.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("string").alias("head"), none.alias("next_keys")))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.coalesce("head", F.lit("")), F.lit(1), half))
-    none = F.array().cast(_KEYS)
     keyed = joined.select(
-        "doc_id",
-        n.cast("long").alias("n_chars"),
-        edited.alias("edited"),
-        digests(F.col("text")).alias("keys"),
-        F.coalesce("next_keys", none).alias("next_keys"),
+        "doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), digests(F.col("text")).alias("keys"), F.coalesce("next_keys", none).alias("next_keys")
     ).select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("edited")).alias("edited_keys"), "keys", "next_keys")
+    keyed = keyed.select("doc_id", "n_chars", "edited_sha256", *[checked(F.col(c)).alias(c) for c in ("keys", "edited_keys", "next_keys")])
     sketched = keyed.select("*", *[table(F.col(c)).alias(f"{c}_cells") for c in ("keys", "edited_keys", "next_keys")])
-    compared = sketched.select(
-        "*", *[differing(F.col("keys"), F.col(c), F.col("keys_cells"), F.col(f"{c}_cells")).alias(f"{c}_delta") for c in ("edited_keys", "next_keys")]
-    )
+    others = ("edited_keys", "next_keys")
+    keys, cells = F.col("keys"), F.col("keys_cells")
+    tried = sketched.select("*", *[first_difference(keys, F.col(c), cells, F.col(f"{c}_cells")).alias(f"{c}_first") for c in others])
+    compared = tried.select("*", *[F.coalesce(F.col(f"{c}_first"), larger_difference(keys, F.col(c))).alias(f"{c}_delta") for c in others])
     return compared.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        fingerprint(F.col("keys_cells")).alias("fingerprint"),
+        fingerprint(cells).alias("fingerprint"),
         fingerprint(F.col("edited_keys_cells")).alias("edited_fingerprint"),
-        likeness(F.col("keys"), F.col("edited_keys"), F.col("edited_keys_delta")).alias("near_edited"),
-        likeness(F.col("keys"), F.col("next_keys"), F.col("next_keys_delta")).alias("near_next"),
+        likeness(keys, F.col("edited_keys"), F.col("edited_keys_delta")).alias("near_edited"),
+        likeness(keys, F.col("next_keys"), F.col("next_keys_delta")).alias("near_next"),
         F.size("keys").cast("long").alias("n_paragraphs"),
     )

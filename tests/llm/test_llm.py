@@ -1,5 +1,6 @@
 """The corpus operators against brute force, round trips and edge cases."""
 
+import hashlib
 import math
 import re
 import struct
@@ -219,15 +220,20 @@ def test_wrapper_has_slots_optional_and_repeated_groups():
     assert html_text.merge(a, b).expression() == "<page><ul>(<li>#</>)+</><div>same</>(<section>more</>)?</>"
 
 
+def paragraphs(text):
+    return {p.strip(" ") for p in re.findall(iblt.PARAGRAPH, text) if p.strip(" ")}
+
+
 def test_fingerprints_match_brute_force(spark):
     draw = np.random.default_rng(2)
-    lines = [f"line number {k}" for k in range(300)]
-    texts = ["\n".join(draw.choice(lines, n)) for n in (3, 1, 40, 200, 8, 8)] + [None, "", "ab", "\n".join(lines)]
+    lines = [f"line number {k}" for k in range(3000)]
+    prose = " ".join(" ".join(f"w{x}" for x in draw.integers(0, 400, 9)) + "." for _ in range(40))
+    texts = ["\n".join(draw.choice(lines, n)) for n in (3, 1, 40, 200, 8, 8, 25)] + [None, "", "ab", "\n".join(lines), "\n".join(lines[5:]), prose, prose.replace(".", "")]
     texts.append(texts[0])
     out = {r.doc_id: r for r in iblt.fingerprints(documents(spark, texts)).collect()}
 
     def likeness(a, b):
-        a, b = ({p.strip(" ") for p in t.split("\n") if p.strip(" ")} for t in (a, b))
+        a, b = paragraphs(a), paragraphs(b)
         return len(a & b) / len(a | b) if a | b else 1.0
 
     for i, t in enumerate(texts):
@@ -235,7 +241,18 @@ def test_fingerprints_match_brute_force(spark):
         half = len(t) // 2
         edited = t[: len(t) - half] + follower[:half]
         assert out[i].near_edited == pytest.approx(likeness(t, edited)) and out[i].near_next == pytest.approx(likeness(t, follower))
-    assert out[0].fingerprint == out[10].fingerprint != out[2].fingerprint
+        assert (out[i].n_chars, out[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+    assert out[0].fingerprint == out[len(texts) - 1].fingerprint != out[2].fingerprint
+    assert out[12].near_edited > 0.2 and out[13].near_edited > 0.2
+
+
+def test_peeling_recovers_the_digests_that_differ(spark):
+    rows = [([1, 2, 3, 4, 5], [4, 5, 6]), ([7], [7]), (list(range(100)), list(range(40)))]
+    frame = spark.createDataFrame(rows, "a array<long>, b array<long>").select(*[iblt.checked(F.col(c)).alias(c) for c in "ab"])
+    cells = frame.select("a", "b", iblt.table(F.col("a")).alias("x"), iblt.table(F.col("b")).alias("y"))
+    found = cells.select(iblt.peel(iblt.subtract(F.col("x"), F.col("y"))).alias("p"), iblt.larger_difference(F.col("a"), F.col("b")).alias("n")).collect()
+    assert {(c.k, c.n) for c in found[0].p} == {(1, 1), (2, 1), (3, 1), (6, -1)} and found[1].p == [] and found[2].p is None
+    assert [r.n for r in found] == [4, 0, 60]
 
 
 def test_top_k_matches_brute_force(spark):
