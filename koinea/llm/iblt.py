@@ -151,23 +151,29 @@ def fingerprint(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda c: F.concat_ws(":", c["n"].cast("string"), F.hex(c["k"]), F.hex(c["h"]))), " ")
 
 
-def next_heads(known: DataFrame) -> DataFrame:
-    """(prev_id, head, next_keys): of the document after each, as many first characters as half the former's, and its digests.
+def _doc_id(key: Column) -> Column:
+    return F.when(~F.startswith(key, F.lit("n")), key.cast("long"))
 
-    The order is that of doc_id, which is never null here; after the last comes the first. Ids are ranked
-    by range partitions, so no task sees all of them, and of the next text only what is needed is moved.
+
+def next_heads(source: DataFrame) -> DataFrame:
+    """(prev_key, head, next_keys): of the document after each, as many first characters as half the former's, and its digests.
+
+    The order is that of doc_id; after the last comes the first, and rows without doc_id have none. Ids are
+    ranked by range partitions, so no task sees all of them, and of the next text only what is needed is
+    moved.
     """
-    ids = known.groupBy("doc_id").agg(F.max(F.length("text")).alias("need"), F.count("*").alias("rows"))
+    sized = source.select(_doc_id(F.col("key")).alias("doc_id"), F.length("text").alias("n")).where("doc_id is not null")
+    ids = sized.groupBy("doc_id").agg(F.max("n").alias("need"), F.count("*").alias("rows"))
     ranked = numbered(ids, "doc_id", name="place")
     total, most = ranked.agg(F.count("*"), F.max("rows")).first()
     after = ranked.select("doc_id", "place")
     links = ranked.select(F.col("doc_id").alias("prev_id"), "need", (F.when(F.col("place") + 1 == F.lit(total), 0).otherwise(F.col("place") + 1)).alias("place"))
-    links = links.join(after, "place").select("prev_id", "need", F.col("doc_id").alias("next_id"))
-    heads = known.join(links.hint("shuffle_hash"), F.col("doc_id") == F.col("next_id")).select(
-        "prev_id", F.substr("text", F.lit(1), F.floor(F.col("need") / 2).cast("int")).alias("head"), digests(F.col("text")).alias("next_keys")
+    links = links.join(after, "place").select(F.col("prev_id").cast("string").alias("prev_key"), "need", F.col("doc_id").cast("string").alias("next_key"))
+    heads = source.join(links.hint("shuffle_hash"), F.col("key") == F.col("next_key")).select(
+        "prev_key", F.substr("text", F.lit(1), F.floor(F.col("need") / 2).cast("int")).alias("head"), digests(F.col("text")).alias("next_keys")
     )
     if (most or 0) > 1:  # a repeated id: the smallest head stands for it
-        heads = heads.groupBy("prev_id").agg(F.min(F.struct("head", "next_keys")).alias("m")).select("prev_id", "m.*")
+        heads = heads.groupBy("prev_key").agg(F.min(F.struct("head", "next_keys")).alias("m")).select("prev_key", "m.*")
     return heads
 
 
@@ -189,11 +195,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     doc_id share the next document; of a next document that repeats, the smallest text counts (a tie of
     equal texts makes no difference). Other columns are ignored; an empty table gives an empty result.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = source.where("doc_id is not null")  # its one exchange by doc_id serves both joins
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # never null, so that both joins can use one exchange; rows without doc_id are spread by their text
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("n"), F.xxhash64(text).cast("string")))
+    source = docs.select(key.alias("key"), text.alias("text"))
     none = F.array().cast("array<bigint>")
-    joined = known.join(next_heads(known), F.col("doc_id") == F.col("prev_id"), "left").select("doc_id", "text", "head", "next_keys")
-    joined = joined.unionByName(source.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("string").alias("head"), none.alias("next_keys")))
+    joined = source.join(next_heads(source), F.col("key") == F.col("prev_key"), "left").withColumn("doc_id", _doc_id(F.col("key")))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.coalesce("head", F.lit("")), F.lit(1), half))
