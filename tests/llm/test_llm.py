@@ -273,6 +273,62 @@ def test_top_k_matches_brute_force(spark):
     assert {(r.query_id, r.rank): r.doc_id for r in found.collect()} == want
 
 
+def test_blocks_are_skipped_and_results_stay_exact():
+    draw = np.random.default_rng(8)
+    texts = []
+    for k in range(900):
+        own = [f"{'abc'[k % 3]}{x}" for x in draw.zipf(1.3, 60) if x < 10**6] + [f"own{k // 3}"] * 2
+        texts.append(" ".join(own))
+    table = pa.table({"doc_id": pa.array(range(900), pa.int64()), "text": texts})
+
+    class Context:
+        partitionId = staticmethod(lambda: 0)  # noqa: N815
+
+    bm25.TaskContext, kept = type("T", (), {"get": staticmethod(lambda: Context)}), bm25.TaskContext
+    try:
+        row = next(iter(bm25._indexer(1 << 30)(iter(table.to_batches())))).to_pylist()[0]
+    finally:
+        bm25.TaskContext = kept
+    tokens = [Counter(words(t)) for t in texts]
+    average = sum(sum(t.values()) for t in tokens) / 900
+    shard = bm25.Shard(row, average)
+    df = Counter(w for t in tokens for w in t)
+    idf = {w: math.log(1 + (900 - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+
+    def key(w):
+        return bm25.K.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0]
+
+    queries = []
+    for q in range(0, 900, 7):
+        pairs = sorted((key(w), c * idf[w]) for w, c in tokens[q].items())
+        queries.append((np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs])))
+    floors = np.zeros(len(queries))
+    found = shard.search(queries, floors, 3)
+    for n, q in enumerate(range(0, 900, 7)):
+        scores = []
+        for d, t in enumerate(tokens):
+            s = sum(c * idf[w] * t[w] * 2.2 / (t[w] + 1.2 * (0.25 + 0.75 * sum(t.values()) / average)) for w, c in tokens[q].items() if w in t)
+            scores.append((-round(s, 9), d))
+        assert [d for _, d in sorted(scores)[:3]] == found[n][0].tolist()
+    assert shard.skipped > 0 and shard.scored < 900 * len(queries) / 4
+
+
+def test_long_regular_words_have_their_own_hashes():
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    data = np.frombuffer((a + " " + b + " " + a.upper()).encode(), np.uint8)
+    hashes, first = bm25.K.words(data, np.array([0, len(data)]))
+    assert hashes[0] == hashes[2] != hashes[1]
+
+
+def test_a_text_longer_than_a_segment_keeps_its_words():
+    text = " ".join(f"word{k % 977}" for k in range(450_000))
+    data = np.frombuffer(("x y " + text + " z").encode(), np.uint8)
+    hashes, first = bm25.K.words(data, np.array([0, 4, len(data)]))
+    assert first.tolist() == [0, 2, 450_003] and len(np.unique(hashes)) == 980
+
+
 def test_line_dedup_deletes_later_runs_only(spark):
     passage = " ".join(f"p{k}" for k in range(60))
     run = "\n".join(f"short line {k} with some more words in it" for k in range(8))
