@@ -1,38 +1,46 @@
 """Main text of web pages by wrapper inference.
 
-The pages of a host are token streams of one template. Streams are aligned one after another into a
-union-free regular expression: equal tokens stay, differing texts become slots, tokens that only some
-streams have become optional, and neighbouring equal groups become repeated groups. The region of the
-wrapper whose slots hold the article gives each page's text.
+The pages of a host are token streams of one template. Each page's elements are aligned with the host's
+wrapper, a union-free regular expression: under the same parent equal labels match; elements that only
+some pages have become optional, those that stand several times in one page become repeated groups,
+and texts that differ become slots. A wrapper is kept as one row for each path of labels. Merging takes
+sums, minima and maxima only, so it is the same in any order and combines before the shuffle.
+
+The region whose slots hold most text is the article's. Containers in it that say the same on every page
+are no part of the article.
 """
 
 from __future__ import annotations
 
 import html
-import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from koinea.llm._tables import written
 
-# HTML elements by role.
+# HTML elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 DROPPED = frozenset("script style noscript template iframe svg math canvas object audio video head title nav footer aside form button select option textarea dialog menu".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
+WHOLE = frozenset("html body main article page".split())
 RAW = "script|style|textarea|title|noscript|template|iframe|svg"
-# Words of class, id and role names that mark what is not the article.
+#: Whole class, id and role names of what is not the article. A name that only contains one of them says nothing.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer masthead topbar toolbar comment comments disqus respond replies cookie cookies consent gdpr notice notices alert popup modal newsletter "
-    "subscribe subscription signup share sharing social related recommended recommendations widget pagination pager login search form skip".split()
+    "ad ads advert adverts advertisement banner sponsored promo sidebar menu navigation navbar breadcrumb breadcrumbs footer masthead toolbar topbar "
+    "comment comments comment-list comments-area disqus_thread respond cookie-notice cookie-banner cookies consent gdpr notice popup modal newsletter "
+    "subscribe share sharing social related recommended pagination pager login search complementary contentinfo search-form skip-link".split()
 )
+#: A container that is the same on so many pages, and on all that have it, is left out of the article ...
+SAME_PAGES = 3
+#: ... unless such containers hold more than this share of the region: then the pages are copies of each other.
+COPIES = 0.3
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(.*?)(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>",
@@ -43,41 +51,51 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s
 
 
 @dataclass
-class Node:
-    """An element of a page or wrapper. text: None for none, a constant, or True for a slot; mass: characters in its slots."""
+class Group:
+    """What a wrapper knows of one path of labels: pages that have it, the most in one parent, text without links, and hashes of texts."""
 
-    label: str
-    optional: bool = False
-    repeated: bool = False
-    text: str | bool | None = None
+    pages: int = 0
+    most: int = 0
     mass: int = 0
-    children: list[Node] = field(default_factory=list)
-
-    def plain(self) -> list:
-        return [self.label, self.optional, self.repeated, self.text, self.mass, [c.plain() for c in self.children]]
-
-    @staticmethod
-    def of(x: list) -> Node:
-        return Node(*x[:5], [Node.of(c) for c in x[5]])
-
-    def expression(self) -> str:
-        inner = ("#" if self.text is True else re.escape(self.text) if self.text else "") + "".join(c.expression() for c in self.children)
-        own = f"<{self.label}>{inner}</>"
-        return f"({own}){'*' if self.optional else '+'}" if self.repeated else f"({own})?" if self.optional else own
+    low: int | None = None
+    high: int | None = None
+    place: float = 0.0
+    children: dict[str, Group] = field(default_factory=dict)
+
+    @property
+    def slot(self) -> bool:
+        return self.low != self.high
+
+    def add(self, other: Group) -> None:
+        """Aligns another wrapper with this one, group by group."""
+        self.pages, self.most, self.mass, self.place = self.pages + other.pages, max(self.most, other.most), self.mass + other.mass, self.place + other.place
+        known = [x for x in (self.low, self.high, other.low, other.high) if x is not None]
+        if known:
+            self.low, self.high = min(known), max(known)
+        for label, child in other.children.items():
+            self.children.setdefault(label, Group()).add(child)
+
+    def expression(self, label: str = "page", parent_pages: int = 0) -> str:
+        """The wrapper as a union-free regular expression: # is a slot, . a constant text."""
+        order = sorted(self.children.items(), key=lambda x: (x[1].place / x[1].pages, x[0]))
+        inner = ("#" if self.slot else "." if self.low is not None else "") + "".join(c.expression(k, self.pages) for k, c in order)
+        own, optional = f"<{label}>{inner}</>", self.pages < parent_pages
+        return f"({own}){'*' if optional else '+'}" if self.most > 1 else f"({own})?" if optional else own
 
 
 def _label(name: str, attributes: str) -> tuple[str, bool]:
-    """Element name with its first class, and whether its names mark it as no part of an article."""
+    """Element name with its first class, digits as #, and whether its names mark it as no part of an article."""
     if not attributes or attributes.isspace():
         return name, False
     names: list[str] = []
     first = ""
     for kind, a, b, c in _NAMED.findall(attributes):
-        value = (a or b or c).lower()
-        if kind.lower() == "class" and value and not first:
-            first = value.split()[0] if value.split() else ""
-        names += re.split(r"[^a-z]+", value)
-    return f"{name}.{first}" if first else name, not MARKS.isdisjoint(names) or bool(_HIDDEN.search(attributes))
+        own = (a or b or c).lower().split()
+        if kind.lower() == "class" and own and not first:
+            first = re.sub(r"[0-9]+", "#", own[0])
+        names += own
+    marked = name not in WHOLE and not MARKS.isdisjoint(names)
+    return (f"{name}.{first}" if first else name).replace("/", "|"), marked or bool(_HIDDEN.search(attributes))
 
 
 def events(page: str) -> Iterator[tuple[str, str, bool]]:
@@ -102,148 +120,159 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
         yield "text", page[at:], False
 
 
-def skeleton(page: str) -> Node:
-    """The page as a tree of its structural elements; paragraphs and inline elements count as text of their parent."""
-    root = Node("page")
-    stack = [(root, False)]
-    parts: dict[int, list[str]] = {}
+@dataclass
+class _Open:
+    label: str
+    path: str
+    marked: bool
+    texts: list[str] = field(default_factory=list)
+    mass: int = 0
+    counts: dict[str, int] = field(default_factory=dict)
+
+    @property
+    def name(self) -> str:
+        return self.label.split(".")[0]
+
+
+def skeleton(page: str) -> dict[str, Group]:
+    """The page's paths of labels with their groups; marked elements and what is in them are left out, inline text is its parent's."""
+    groups: dict[str, Group] = {"": Group(pages=1, most=1)}
+    stack = [_Open("page", "", False)]
+    links = 0
+
+    def shut(n: int) -> None:
+        while len(stack) > n:
+            node = stack.pop()
+            if not node.marked:
+                group = groups[node.path]
+                group.mass += node.mass
+                text = " ".join("".join(node.texts).split())
+                if text:
+                    h = xxhash.xxh64_intdigest(text) >> 1
+                    group.low = h if group.low is None else min(group.low, h)
+                    group.high = h if group.high is None else max(group.high, h)
+
     for kind, value, marked in events(page):
         name = value.split(".")[0]
         if kind == "text":
-            if value.strip():
-                parts.setdefault(id(stack[-1][0]), []).append(value)
-        elif name in VOID or name in INLINE or name in ("p", "br"):
+            if not stack[-1].marked:
+                stack[-1].texts.append(value)
+                if not links:
+                    stack[-1].mass += len(value) - value.count(" ") if not value.isspace() else 0
+        elif name == "a":
+            links = 1 if kind == "open" else 0
+        elif name in ("br", "hr"):
+            stack[-1].texts.append(" ")
+        elif name in VOID or name in INLINE:
             continue
         elif kind == "open":
-            node = Node(value)
-            stack[-1][0].children.append(node)
-            stack.append((node, stack[-1][1] or marked or name in DROPPED))
+            if name == stack[-1].name and name in ("p", "li", "td", "th", "dt", "dd", "tr", "option"):
+                shut(len(stack) - 1)  # such elements end where the next begins
+            links, top = 0, stack[-1]
+            path = f"{top.path}/{value}" if top.path else value
+            out = top.marked or marked or name in DROPPED
+            if not out:
+                top.counts[value] = top.counts.get(value, 0) + 1
+                group = groups.setdefault(path, Group(pages=1, place=sum(top.counts.values())))
+                group.most = max(group.most, top.counts[value])
+            stack.append(_Open(value, path, out))
         else:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0].label.split(".")[0] == name:
-                    del stack[k:]
+                if stack[k].name == name:
+                    shut(k)
+                    links = 0
                     break
-    return _settle(root, parts)
-
-
-def _settle(node: Node, parts: dict[int, list[str]]) -> Node:
-    texts = parts.get(id(node))
-    if texts:
-        node.text = " ".join(" ".join(texts).split())
-        node.mass = len(node.text)
-        if node.mass > 200:
-            node.text = True  # long texts are slots from the start
-    node.children = fold([_settle(c, parts) for c in node.children])
-    return node
-
-
-def fold(children: list[Node]) -> list[Node]:
-    """Neighbouring equal groups of one to four elements as one repeated group."""
-    out = children
-    for size in (1, 2, 3, 4):
-        at, done = 0, []
-        while at < len(out):
-            k = 1
-            unit = [c.label for c in out[at : at + size]]
-            while len(unit) == size and [c.label for c in out[at + k * size : at + (k + 1) * size]] == unit:
-                k += 1
-            if k > 1:
-                merged = [reduce(merge, out[at + i : at + k * size : size]) for i in range(size)]
-                for c in merged:
-                    c.repeated = True
-                done += merged
-                at += k * size
-            else:
-                done.append(out[at])
-                at += 1
-        out = done
-    return out
-
-
-def merge(a: Node, b: Node) -> Node:
-    """The least wrapper of both: differing texts become slots, unmatched elements optional."""
-    text = a.text if a.text == b.text else True
-    return Node(a.label, a.optional or b.optional, a.repeated or b.repeated, text, a.mass + b.mass, _align(a.children, b.children))
-
-
-def _align(a: list[Node], b: list[Node]) -> list[Node]:
-    """Children aligned by a longest common subsequence of labels."""
-    if [x.label for x in a] == [x.label for x in b]:
-        return [merge(x, y) for x, y in zip(a, b, strict=True)]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i].label == b[j].label else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    out: list[Node] = []
-
-    def alone(x: Node) -> None:
-        out.append(Node(x.label, True, x.repeated, x.text, x.mass, x.children))
-
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i].label == b[j].label and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append(merge(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
-            alone(a[i])
-            i += 1
-        else:
-            alone(b[j])
-            j += 1
-    return fold(out)
+    shut(0)
+    return groups
+
 
+def tree(groups: dict[str, Group]) -> Group:
+    """Groups by path as a tree."""
+    root = Group()
+    for path, group in sorted(groups.items()):
+        node = root
+        for label in path.split("/") if path else []:
+            node = node.children.setdefault(label, Group())
+        node.add(group)
+    return root
 
-def _is_out(label: str) -> bool:
-    name, _, kind = label.partition(".")
-    return name in DROPPED or not MARKS.isdisjoint(re.split(r"[^a-z]+", kind))
 
+@dataclass
+class Region:
+    """Where a host's pages hold their articles: labels from the root, and paths below that say the same on every page."""
 
-def main_path(wrapper: Node) -> list[str]:
-    """Labels from the root to the article: <article> or <main> with the most slot text, else the deepest element with 7/10 of it."""
+    path: list[str]
+    same: frozenset[str]
 
-    def mass(node: Node) -> int:
-        return 0 if _is_out(node.label) else (node.mass if node.text is True else 0) + sum(mass(c) for c in node.children)
 
-    def named(node: Node, path: list[str]) -> Iterator[tuple[int, list[str]]]:
-        if _is_out(node.label):
-            return
-        if node.label.split(".")[0] in ("article", "main"):
-            yield mass(node), path
-        for c in node.children:
-            yield from named(c, [*path, c.label])
+def find_region(wrapper: Group) -> Region:
+    """The outermost <article>, else <main>, with most slot text; else the deepest container with 7/10 of it.
+
+    If no text differs, as with one page or copies of one, all text without links counts.
+    """
+
+    def slots(node: Group, all_text: bool) -> int:
+        return (node.mass if all_text or node.slot else 0) + sum(slots(c, all_text) for c in node.children.values())
+
+    all_text = slots(wrapper, False) == 0
+    mass = lambda node: slots(node, all_text)
+
+    def named(node: Group, path: list[str], name: str) -> Iterator[tuple[int, list[str], Group]]:
+        for label, child in sorted(node.children.items()):
+            if label.split(".")[0] == name:
+                yield mass(child), [*path, label], child
+            else:
+                yield from named(child, [*path, label], name)
 
-    found = sorted(named(wrapper, []), key=lambda x: (-x[0], len(x[1])))
-    articles = [x for x in found if x[1] and x[1][-1].startswith("article")] or found
-    if articles:
-        return articles[0][1]
+    for name in ("article", "main"):
+        found = sorted(named(wrapper, [], name), key=lambda x: (-x[0], len(x[1]), x[1]))
+        if found and found[0][0]:
+            return Region(found[0][1], _same(found[0][2]))
     path, node = [], wrapper
     while True:
-        heavy = max(node.children, key=mass, default=None)
-        if heavy is None or mass(heavy) == 0 or mass(heavy) < 0.7 * mass(node):
-            return path
-        path, node = [*path, heavy.label], heavy
+        inner = {k: c for k, c in node.children.items() if k.split(".")[0] not in PROSE}
+        label = max(sorted(inner), key=lambda k: mass(inner[k]), default=None)
+        if label is None or mass(inner[label]) == 0 or mass(inner[label]) < 0.7 * mass(node):
+            return Region(path, _same(node) if path else frozenset())
+        path, node = [*path, label], inner[label]
 
 
-def extract(page: str, path: list[str]) -> str:
-    """Text of the elements at path (of any <article> or <main>, or of the page, where the page lacks it)."""
-    blocks = _blocks(page, path[-1] if path else None)
+def _same(region: Group) -> frozenset[str]:
+    """Paths below a region of containers whose texts are constant; none if they hold much of it or the pages are few."""
+
+    def total(node: Group) -> int:
+        return node.mass + sum(total(c) for c in node.children.values())
+
+    def constant(node: Group) -> bool:
+        return not node.slot and all(constant(c) for c in node.children.values())
+
+    def walk(node: Group, path: str) -> Iterator[tuple[str, int]]:
+        for label, child in node.children.items():
+            own = f"{path}/{label}" if path else label
+            if label.split(".")[0] not in PROSE and child.pages >= SAME_PAGES and constant(child):
+                yield own, total(child)
+            else:
+                yield from walk(child, own)
+
+    found = list(walk(region, ""))
+    return frozenset(p for p, _ in found) if sum(m for _, m in found) <= COPIES * total(region) else frozenset()
+
+
+def extract(page: str, region: Region) -> str:
+    """Text of the page's elements at the region's path, or, where it lacks them, of the region of this page alone."""
+    blocks = _blocks(page, region)
     if blocks is None:
-        for label in ("article", "main"):
-            blocks = _blocks(page, label)
-            if blocks is not None:
-                break
-        else:
-            blocks = _blocks(page, None) or []
+        blocks = _blocks(page, find_region(tree(skeleton(page)))) or []
     return " ".join(blocks)
 
 
-def _blocks(page: str, region: str | None) -> list[str] | None:
-    """Blocks inside the elements with the region's label; None if there are none."""
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, inside the region
+def _blocks(page: str, region: Region) -> list[str] | None:
+    """Blocks inside the elements at the region's path; None if there are none."""
+    stack: list[tuple[str, str, bool]] = []  # name, path, dropped
     out: list[str] = []
     piece: list[str] = []
-    seen = region is None
-    bare = region if region is None or "." in region else region + "."
+    want = "/".join(region.path)
+    seen, path, dropped = not want, "", False
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(piece)).split())
@@ -251,8 +280,8 @@ def _blocks(page: str, region: str | None) -> list[str] | None:
             out.append(text)
         piece.clear()
 
-    inside, dropped = region is None, False
     for kind, value, marked in events(page):
+        inside = not want or path == want or path.startswith(want + "/")
         if kind == "text":
             if inside and not dropped:
                 piece.append(value)
@@ -261,20 +290,29 @@ def _blocks(page: str, region: str | None) -> list[str] | None:
         if name in ("br", "hr"):
             piece.append(" ")
             continue
-        if name not in INLINE:
-            flush()
+        if name in INLINE:
+            if kind == "open" and marked:
+                stack.append((name, path, dropped))
+                dropped = True
+            elif kind == "close" and stack and stack[-1][0] == name:
+                path, dropped = stack.pop()[1:]
+            continue
+        flush()
         if kind == "open":
             if name in VOID:
                 continue
-            here = inside or value == region or (bare is not None and f"{value}.".startswith(bare) and "." not in region)
-            seen = seen or here
-            gone = dropped or marked or name in DROPPED or (name == "header" and not inside)
-            stack.append((name, dropped, inside))
-            inside, dropped = here, gone
+            if stack and name == stack[-1][0] and name in ("p", "li", "td", "th", "dt", "dd", "tr", "option"):
+                path, dropped = stack.pop()[1:]
+            stack.append((name, path, dropped))
+            path = f"{path}/{value}" if path else value
+            seen = seen or path == want
+            inside = not want or path == want or path.startswith(want + "/")
+            below = path[len(want) + 1 :] if want else path
+            dropped = dropped or (path != want and marked) or name in DROPPED or (inside and below in region.same) or (name == "header" and not want)
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    dropped, inside = stack[k][1], stack[k][2]
+                    path, dropped = stack[k][1:]
                     del stack[k:]
                     break
     flush()
@@ -286,62 +324,58 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
+#: Paths of labels that one task holds before it hands them on.
+FRESH = 50_000
+_GROUPS = "host string, path string, pages long, most long, mass long, low long, high long, place double"
+_NAMES = [c.split()[0] for c in _GROUPS.split(", ")]
+
+
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A wrapper for each host in the partition. At most FRESH hosts are held at once; then they are handed on."""
-    held: dict[str, Node] = {}
-    pages: dict[str, int] = {}
+    """Groups by host and path from the pages of a partition; some hosts and paths may come more than once."""
+    held: dict[tuple[str, str], Group] = {}
 
     def out() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays(
-            [pa.array(list(held)), pa.array([pages[h] for h in held], pa.int64()), pa.array([json.dumps(w.plain()) for w in held.values()])],
-            names=["host", "pages", "wrapper"],
-        )
+        rows = [[h, p, g.pages, g.most, g.mass, g.low, g.high, g.place] for (h, p), g in held.items()]
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
         held.clear()
-        pages.clear()
-        return made
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=_NAMES)
 
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            tree = skeleton(page or "")
-            held[host] = merge(held[host], tree) if host in held else tree
-            pages[host] = pages.get(host, 0) + 1
+            for path, group in skeleton(page or "").items():
+                held.setdefault((host, path), Group()).add(group)
             if len(held) > FRESH:
                 yield out()
     if held:
         yield out()
 
 
-FRESH = 2000
-_WRAPPERS = "host string, pages long, wrapper string"
+def wrappers(pages: DataFrame) -> DataFrame:
+    """Rows (host, groups) from all pages(url, html): a wrapper's groups by path, with what Group holds."""
+    made = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string")).mapInArrow(_infer, _GROUPS)
+    merged = made.groupBy("host", "path").agg(
+        F.sum("pages").alias("pages"), F.max("most").alias("most"), F.sum("mass").alias("mass"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("place").alias("place")
+    )
+    return merged.groupBy("host").agg(F.sort_array(F.collect_list(F.struct(*_NAMES[1:]))).alias("groups"))
 
 
-def _join_wrappers(group: pd.DataFrame) -> pd.DataFrame:
-    merged = reduce(merge, (Node.of(json.loads(w)) for w in group["wrapper"]))
-    return pd.DataFrame({"host": [group["host"].iloc[0]], "pages": [int(group["pages"].sum())], "wrapper": [json.dumps(merged.plain())]})
+def wrapper_of(groups: list[dict]) -> Group:
+    """The wrapper from its row's groups."""
+    return tree({g["path"]: Group(**{k: g[k] for k in _NAMES[2:]}) for g in groups})
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """Rows (host, pages, wrapper) from all pages(url, html).
-
-    Every partition aligns its own pages first, so a host with a third of all pages reaches its one
-    merging task as one wrapper for each partition, in two steps.
-    """
-    made = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string")).mapInArrow(_infer, _WRAPPERS)
-    part = F.pmod(F.xxhash64("wrapper"), F.lit(32))
-    once = made.withColumn("part", part).groupBy("host", "part").applyInPandas(lambda g: _join_wrappers(g), _WRAPPERS)
-    return once.groupBy("host").applyInPandas(_join_wrappers, _WRAPPERS)
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [find_region(wrapper_of(g)) for g in batch.column(1).to_pylist()]
+        columns = [pa.array(["/".join(r.path) for r in found]), pa.array([sorted(r.same) for r in found], pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["host", "region", "same"])
 
 
 def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, list[str]] = {}
     for batch in batches:
         texts = []
-        for page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if wrapper not in known:
-                if len(known) > FRESH:
-                    known.clear()
-                known[wrapper] = main_path(Node.of(json.loads(wrapper))) if wrapper else []
-            texts.append(extract(page or "", known[wrapper]))
+        for page, path, same in zip(*[batch.column(c).to_pylist() for c in (2, 3, 4)], strict=True):
+            texts.append(extract(page or "", Region(path.split("/") if path else [], frozenset(same or ()))))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             names=["page_id", "url", "text", "n_chars"],
@@ -351,14 +385,18 @@ def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_text(pages: DataFrame) -> DataFrame:
     """Main text of pages(page_id, url, html): rows (page_id, url, text, n_chars).
 
-    The text lies in the region that the host's wrapper finds, without menus, headers and footers of
-    the page, sidebars, notices, adverts, forms, scripts, styles and comments inside it. Character
-    references are decoded, white space within a block is one space, blocks are joined by one space.
-    Null or empty html gives an empty text; a null url counts as the host ''. Pages that lack the
-    host's region fall back to <article>, <main>, then the whole page. Repeated rows give repeated
-    results; other columns are ignored; an empty table gives an empty result.
+    The text lies in the region that the host's wrapper finds, without what its elements or whole names
+    mark as menus, footers, sidebars, notices, adverts, forms, scripts, styles or comments, and without
+    containers that say the same on every page. Character references are decoded, white space within a
+    block is one space, blocks are joined by one space.
+
+    Null or empty html gives an empty text; a null url counts as the host ''. A page that lacks its host's
+    region is taken by its own. Repeated rows give repeated results and, like ties of equal mass, which
+    go to the shorter path and then the first by name, make no difference to order; other columns are
+    ignored; an empty table gives an empty result.
     """
-    hosts = written(wrappers(pages)).select("host", "wrapper")  # of known size, so Spark can decide on a broadcast
+    found = wrappers(pages).mapInArrow(_regions, "host string, region string, same array<string>")
+    hosts = written(found)  # of known size, so Spark can decide on a broadcast
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host_of(F.col("url")).alias("host"))
-    joined = rows.join(hosts, "host", "left").select("page_id", "url", "html", "wrapper")
+    joined = rows.join(hosts, "host", "left").select("page_id", "url", "html", "region", "same")
     return joined.mapInArrow(_extractor, "page_id long, url string, text string, n_chars long")

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, round trips and edge cases."""
 
 import hashlib
+import html
 import math
 import re
 import struct
@@ -216,8 +217,64 @@ def test_html_extraction(spark):
 
 
 def test_wrapper_has_slots_optional_and_repeated_groups():
-    a, b = (html_text.skeleton(x) for x in ("<ul><li>a</li><li>b</li></ul><div>same</div>", "<ul><li>c</li></ul><hr><div>same</div><section>more</section>"))
-    assert html_text.merge(a, b).expression() == "<page><ul>(<li>#</>)+</><div>same</>(<section>more</>)?</>"
+    pages = ["<ul><li>a</li><li>b</li></ul><div>same</div>", "<ul><li>c</li></ul><hr><div>same</div><section>more</section>"]
+    for order in (pages, pages[::-1]):
+        wrapper = html_text.tree(html_text.skeleton(order[0]))
+        wrapper.add(html_text.tree(html_text.skeleton(order[1])))
+        assert wrapper.expression() == "<page><ul>(<li>#</>)+</><div>.</>(<section>.</>)?</>"
+
+
+STORY = "Plain text number {0} of the story, with some more words {0}."
+
+
+def host_pages(wrap, n=5, host="one.org"):
+    return [(i, f"http://{host}/{i}", wrap(i)) for i in range(n)]
+
+
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_names_that_only_contain_a_mark_stay(spark):
+    parts = "".join(f'<div class="{c}">Part {c} of {{0}}</div>' for c in ("related-work", "search-for-truth", "alert-levels"))
+    out = extracted(spark, host_pages(lambda i: f'<body class="no-sidebar"><article class="post comments-open"><p>{STORY.format(i)}</p>{parts.format(i)}</article></body>'))
+    assert all(out[i] == f"{STORY.format(i)} Part related-work of {i} Part search-for-truth of {i} Part alert-levels of {i}" for i in range(5))
+
+
+def test_regions_without_known_names(spark):
+    def wrap(i):
+        return f"<body><div class=top><a href=/>Home</a> <a href=/b>More of this</a></div><div class=x><div class=y><h2>Head {i}</h2><p>{STORY.format(i)}<p>{STORY.format(i + 50)}<div class=box>Join our list today</div></div><div class=z>Word {i}</div></div><div class=low>All rights</div></body>"
+
+    out = extracted(spark, host_pages(wrap) + [(9, "http://alone.org", wrap(9))])
+    assert all(out[i] == f"Head {i} {STORY.format(i)} {STORY.format(i + 50)}" for i in range(5))
+    assert STORY.format(9) in out[9] and "Home" not in out[9] and "All rights" not in out[9]
+
+
+def test_copies_of_one_page_keep_their_text(spark):
+    def wrap(i):
+        return f"<body><nav>Menu</nav><div class=c><p>{STORY.format(0)}</p><section>{STORY.format(7)}</section></div><p>{'' if i else 'x'}</p></body>"
+
+    out = extracted(spark, host_pages(wrap, 6))
+    assert all(STORY.format(0) in t and STORY.format(7) in t and "Menu" not in t for t in out.values())
+
+
+def test_pages_match_their_articles_cut_by_hand(spark):
+    """Precision and recall of words on generated pages, whose article is what stands between its tags."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    out = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)
+        want = html.unescape(re.sub(r"<[^>]*>", " ", inner.group(1))).split() if inner else []
+        assert out[r.page_id].split() == want
+
+
+def test_pages_in_any_order_and_odd_rows(spark):
+    rows = host_pages(lambda i: page(f"<article><h1>T</h1><p>{STORY.format(i)}</p></article>"), 20, "many.org")
+    rows += [(50, None, "<p>no host</p>"), (51, "http://many.org/51", None), (52, "", "<<<>>> <p"), (3, "http://many.org/3", rows[3][2])]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("host", "region", "same", "text", "path")})
+    first, second = (sorted(map(tuple, html_text.extract_text(f).collect())) if f else None for f in (frame.coalesce(1), frame.orderBy(F.desc("html")).repartition(3)))
+    assert len(first) == len(rows) and first == second
+    assert dict((r[0], r[2]) for r in first)[51] == "" and dict((r[0], r[2]) for r in first)[50] == "no host"
 
 
 def paragraphs(text):
