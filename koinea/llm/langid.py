@@ -78,34 +78,45 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def training_sample(docs: DataFrame, learn: Column, per_lang: int, most: int) -> list:
-    """Features of at most per_lang documents of each language, most in all, drawn by hash of doc_id from all with learn."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    pool = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    picked = (
-        pool.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-        .withColumn("_n", F.row_number().over(order))
-        .where(F.col("_n") <= per_lang)
-        .orderBy("_n", "lang", "doc_id")
-        .limit(most)
-        .select(F.col("doc_id").alias("_picked"))
-        .distinct()
-    )  # `most` rows at the most: small enough to broadcast
-    rows = pool.join(F.broadcast(picked), F.col("doc_id").cast("long") == F.col("_picked"), "left_semi")
-    found = rows.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(_counter, "lang string, ids array<int>, shares array<float>")
-    return found.limit(2 * most).collect()
-
-
-def train(rows: list, *, width: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 5, confident: float = 0.5) -> LanguageModel:
+#: Groups in which a language's documents are ranked first, so that no task sees all of a language.
+SALTS = 64
+
+
+def training_sample(docs: DataFrame, learn: Column, per_lang: int, most: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """Features (lang, buckets, shares) of at most per_lang documents of each language, most in all, drawn by hash of doc_id from all with learn.
+
+    Of rows that repeat a drawn doc_id, the first by language and text counts.
+    """
+    pool = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
+    )
+    draw = pool.select("doc_id", "lang").withColumn("_h", F.xxhash64("doc_id")).withColumn("_salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SALTS)))
+    for keys in (("lang", "_salt"), ("lang",)):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "doc_id"))
+        draw = draw.withColumn("_n", rank).where(F.col("_n") <= per_lang)
+    picked = draw.orderBy("_n", "lang", "doc_id").limit(most).select(F.col("doc_id").alias("_picked")).distinct()
+    # `most` ids at the most: small enough to broadcast
+    rows = pool.join(F.broadcast(picked), F.col("doc_id") == F.col("_picked"), "left_semi").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("m"))
+    found = rows.select("m.lang", "m.text").mapInArrow(_counter, "lang string, ids array<int>, shares array<float>").toArrow()
+    out = []
+    for batch in found.to_batches():
+        langs, ids, shares = batch.columns
+        at = ids.offsets.to_numpy()
+        ids, shares = ids.values.to_numpy(), shares.values.to_numpy()
+        out += [(lang, ids[a:b], shares[a:b]) for lang, a, b in zip(langs.to_pylist(), at, at[1:])]
+    return out
+
+
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], *, width: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 5, confident: float = 0.5) -> LanguageModel:
     """A model from rows (lang, ids, shares); every fifth row of a fixed shuffle calibrates and trains nothing."""
-    rows = sorted((r for r in rows if len(r[1])), key=lambda r: (r[0], r[1], r[2]))
+    rows = sorted((r for r in rows if len(r[1])), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
     langs = sorted({r[0] for r in rows})
     draw = np.random.default_rng(seed)
     n_lang = max(1, len(langs))
     embed = draw.normal(0, 0.1, (2 * _HALF, width)).astype(np.float32)
     weights, bias = np.zeros((width, n_lang), np.float32), np.zeros(n_lang, np.float32)
     weights += draw.normal(0, 0.1, weights.shape).astype(np.float32)
-    data = [(langs.index(r[0]), np.array(r[1]), np.array(r[2], np.float32)) for r in rows]
+    data = [(langs.index(r[0]), r[1].astype(np.int64), r[2].astype(np.float32)) for r in rows]
     order = draw.permutation(len(data))
     held, own = order[::5], np.array([i for k, i in enumerate(order) if k % 5])
     for epoch in range(epochs):
@@ -210,8 +221,8 @@ def identify(docs: DataFrame, *, learn: Column | None = None, per_lang: int = 70
     and ``most`` in all, drawn by a hash of doc_id. Predicts every row from its whole text alone. score is
     the calibrated probability of lang_pred; accepted is false below the threshold that keeps 99.5 % of
     the calibration rows predicted right, 0.5 at most. Null, empty and letterless texts are `und` with
-    score 0 and not accepted, and so is everything if nothing can be learned. Repeated rows are predicted
-    alike; other columns are ignored; an empty table gives an empty result.
+    score 0 and not accepted, and so is everything if nothing can be learned; of languages with equal
+    scores the first by code points counts. Repeated rows are predicted alike; other columns are ignored; an empty table gives an empty result.
     """
     model = train(training_sample(docs, F.lit(True) if learn is None else learn, per_lang, most), seed=seed)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

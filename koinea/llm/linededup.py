@@ -33,11 +33,13 @@ def _passages(words: Column, least: int) -> Column:
         ),
     )
     back = F.transform(tails, lambda s: F.struct((s["at"] - s["n"] + 1).alias("at"), s["n"].alias("n")))
-    return F.array_distinct(F.filter(F.concat(forth, back), lambda s: s["n"] > 0))
+    size = F.lit(least + 1).cast("long")  # a run is one number while equal ones are dropped, which takes a hash set only for numbers
+    runs = F.array_distinct(F.transform(F.filter(F.concat(forth, back), lambda s: s["n"] > 0), lambda s: s["at"] * size + s["n"]))
+    return F.transform(runs, lambda r: F.struct(F.floor(r / size).cast("int").alias("at"), (r % size).cast("int").alias("n")))
 
 
 def repeated_runs(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
-    """Rows (doc_id, text_key, position) of the lines that dedupe_lines() deletes."""
+    """Rows (doc_id, text_key, position, words) of the lines that dedupe_lines() deletes."""
     base = docs.where("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text")).alias("text_key"), F.split(F.col("text"), "\n", -1).alias("lines")
     )
@@ -63,25 +65,28 @@ def repeated_runs(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
             F.unhex(F.md5(F.array_join(F.slice("texts", s["at"] + 1, s["n"]), "\n"))).alias("key"),
         ),
     )
-    within = F.filter(F.transform("hashes", lambda x, i: i), lambda p: F.array_position("hashes", F.get("hashes", p)) <= p)
+    base = base.withColumn("sorted", F.array_sort(F.transform("hashes", lambda x, i: F.struct(x.alias("h"), i.alias("p")))))
+    repeats = F.filter("sorted", lambda x, k: (k > 0) & (F.get("sorted", k - 1)["h"] == x["h"]))
+    within = F.transform(repeats, lambda x: x["p"])
     base = written(base.select("doc_id", "text_key", "counts", "blank", within.alias("within"), prints.alias("prints")))
     spots = base.select("doc_id", "text_key", F.explode("prints").alias("f")).select("doc_id", "text_key", "f.*")
     first = spots.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
-    later = spots.join(first, "key").where("doc_id > first_id")
-    spans = later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("p", "e")).alias("spans"))
-    met = base.drop("prints").join(spans, ["doc_id", "text_key"], "left").where("spans is not null or size(within) > 0")
-    matched = F.when(F.col("spans").isNull(), F.array().cast("array<int>")).otherwise(
-        F.flatten(F.transform("spans", lambda s: F.sequence(s["p"], s["e"])))
-    )
+    later = spots.join(first, "key").where("doc_id > first_id").select("doc_id", "text_key", "p", "e")
+    # each passage gives the lines that those before it in its document leave
+    before = F.max("e").over(Window.partitionBy("doc_id", "text_key").orderBy("p", "e").rowsBetween(Window.unboundedPreceding, -1))
+    part = later.withColumn("p", F.greatest(F.col("p"), F.coalesce(before + 1, F.lit(0)))).where("p <= e")
+    matched = part.select("doc_id", "text_key", F.explode(F.sequence("p", "e")).alias("p")).groupBy("doc_id", "text_key").agg(F.collect_list("p").alias("matched"))
+    met = base.drop("prints").join(matched, ["doc_id", "text_key"], "left").where("matched is not null or size(within) > 0")
+    places = F.array_distinct(F.concat(F.coalesce("matched", F.array().cast("array<int>")), "within", "blank"))
     covered = (
-        met.select("doc_id", "text_key", "counts", F.explode(F.array_distinct(F.concat(matched, "within", "blank"))).alias("position"))
-        .select("doc_id", "text_key", "position", F.get("counts", F.col("position")).alias("words"))
+        met.select("doc_id", "text_key", F.explode(F.transform(places, lambda p: F.struct(p.alias("position"), F.get("counts", p).alias("words")))).alias("x"))
+        .select("doc_id", "text_key", "x.*")
         .distinct()
     )
     row = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("position"))
     runs = covered.withColumn("run", F.col("position") - row)
     total = F.sum("words").over(Window.partitionBy("doc_id", "text_key", "run"))
-    return runs.withColumn("total", total).where(F.col("total") >= min_words).select("doc_id", "text_key", "position")
+    return runs.withColumn("total", total).where(F.col("total") >= min_words).select("doc_id", "text_key", "position", "words")
 
 
 def dedupe_lines(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
@@ -100,18 +105,19 @@ def dedupe_lines(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
     """
     gone = repeated_runs(docs, min_words=min_words).groupBy(
         F.col("doc_id").alias("_line_id"), F.col("text_key").alias("_line_key")
-    ).agg(F.collect_set("position").alias("_line_gone"))
+    ).agg(F.collect_list("position").alias("_line_gone"), F.sum("words").alias("_line_words"))
     plain = docs.drop("n_lines", "n_deleted", "deleted_words")
     keyed = plain.withColumn("_key", F.md5(F.col("text")))
     met = keyed.join(
         gone.hint("shuffle_hash"), (F.col("doc_id").cast("long") == F.col("_line_id")) & (F.col("_key") == F.col("_line_key")), "left"
     )
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_line_gone", i)), "\n")
-    lost = F.filter(lines, lambda x, i: F.array_contains("_line_gone", i))
+    met = met.withColumn("_lines", F.split("text", "\n", -1))  # a column of its own, or each line would split the text again
+    lines = F.col("_lines")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_line_gone")
+    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
     return met.select(
         *[F.when(F.col("_line_gone").isNotNull(), kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in plain.columns],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.when(F.col("_line_gone").isNull(), 0).otherwise(F.size("_line_gone")).cast("long").alias("n_deleted"),
-        F.when(F.col("_line_gone").isNull(), 0).otherwise(F.aggregate(lost, F.lit(0).cast("long"), lambda a, x: a + word_count(x))).cast("long").alias("deleted_words"),
+        F.coalesce("_line_words", F.lit(0)).cast("long").alias("deleted_words"),
     )

@@ -128,8 +128,8 @@ def near_duplicates(
     *,
     ngram: int = 5,
     similarity: tuple[int, int] = (80, 100),
-    rows: int = 7,
-    bands: int = 30,
+    rows: int | None = None,
+    bands: int | None = None,
     miss: float = 1e-6,
     batch: int = 30,
     seed: int = 20_240_101,
@@ -141,8 +141,10 @@ def near_duplicates(
     text with fewer words is one shingle. ``component_id`` is the smallest doc_id reachable over
     links; ``kept`` marks that document. Other columns of docs are ignored.
 
-    A pair whose similarity is exactly at a threshold of 0.85 shares no band with probability
-    (1 - 0.85**7)**30 = 9e-6, less for similar pairs; ``miss`` bounds what each Bayesian batch loses.
+    A pair whose similarity is exactly at a threshold t shares no band with probability
+    (1 - t**rows)**bands, less for more similar pairs: 9e-6 at 0.85 for 30 bands of 7, 1e-6 at 0.8 for 45
+    bands of 6. Without rows and bands these are taken, the latter under 0.85. ``miss`` bounds what each
+    Bayesian batch loses.
 
     Equal shingle sets form one class before any pair is made. In each bucket, the pairs with one hub
     are verified first: the member that shares most buckets with others. Then only pairs between
@@ -155,6 +157,8 @@ def near_duplicates(
     document and share its component; all of them are returned. An empty table gives an empty result.
     """
     up, down = similarity
+    usual = (7, 30) if up >= 0.85 * down else (6, 45)
+    rows, bands = rows or usual[0], bands or usual[1]
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = written(source.mapInArrow(_signer(ngram, rows, bands, seed), _SIGNED))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
@@ -216,19 +220,19 @@ def near_duplicates(
     more = verified(pairs).unionByName(_within_large(written(large), sigs, sets, steps, up, down))
     links = written(links.unionByName(more))
     found = written(components(links))
-    named = signed.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
     # a repeated doc_id with different texts joins their classes
     alias = usable.select(F.col("doc_id"), "k1", "k2").join(classes, ["k1", "k2"]).groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     if not alias.isEmpty():
         found = written(components(links.unionByName(alias.select(F.col("lo").alias("a"), F.col("hi").alias("b")))))
+    resolved = classes.join(found, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
     return (
-        named.join(found, "id", "left")
-        .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.when(F.col("n_shingles") > 0, F.col("id")), "doc_id")))
+        signed.select("doc_id", "n_shingles", "k1", "k2")
+        .join(resolved, ["k1", "k2"], "left")
+        .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), "doc_id")))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
     )
 
 
-
 def _within_large(live: DataFrame, sigs: DataFrame, sets: DataFrame, steps: tuple, up: int, down: int) -> DataFrame:
     """Links (a, b) that join different components among documents that share a large bucket.
 

@@ -149,23 +149,25 @@ def _license_sql() -> str:
     rows = []
     for k, (label, text) in enumerate(licenses.TEMPLATES):
         own = sorted(set(licenses.tokens_of(text)))
-        need = -(-len(own) * licenses.THRESHOLD[0] // licenses.THRESHOLD[1])
-        rows.append(f"({k}, '{label}', [{', '.join(repr(w) for w in own)}], {need})")
+        rows.append(f"({k}, '{label}', [{', '.join(repr(w) for w in own)}], {licenses.needed(text)}, {licenses.longest_block(text)})")
     parts = []
     for phrase, label in licenses.PHRASES:
         test = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
         parts.append(f"SELECT doc_id, i - 1 AS s, '{label}' AS label FROM i WHERE {test}")
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     return f"""
-WITH t(k, label, tokens, need) AS (VALUES {', '.join(rows)}),
+WITH t(k, label, tokens, need, long) AS (VALUES {', '.join(rows)}),
 d AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS x FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(x, {word}) AS w FROM d),
 i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
 p AS ({' UNION ALL '.join(parts)}),
 b AS (SELECT doc_id, count(*)::BIGINT AS n_base, min(s)::BIGINT AS first_word, max(s)::BIGINT AS last_word, list_sort(list(DISTINCT label)) AS labels FROM p GROUP BY 1),
-l AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(x, chr(10))), {word})) AS words FROM d),
-m AS (SELECT doc_id, label, len(list_intersect(words, tokens)) / len(tokens)::DOUBLE AS c FROM l, t WHERE len(words) >= need AND len(list_intersect(words, tokens)) >= need),
-n AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS c FROM m GROUP BY 1)
+u AS (SELECT k, label, len(tokens) AS size, need, long, unnest(tokens) AS word FROM t),
+h AS (SELECT doc_id, k, label, size, need, long, i, word FROM (SELECT doc_id, i, w[i] AS word FROM i) JOIN u USING (word)),
+g AS (SELECT doc_id, k FROM h GROUP BY ALL HAVING count(DISTINCT word) >= min(need)),
+c AS (SELECT h.doc_id, h.label, count(DISTINCT o.word) / h.size::DOUBLE AS c FROM h JOIN g USING (doc_id, k) JOIN h o ON o.doc_id = h.doc_id AND o.k = h.k AND o.i BETWEEN h.i AND h.i + h.long - 1
+  GROUP BY h.doc_id, h.k, h.label, h.size, h.need, h.i HAVING count(DISTINCT o.word) >= h.need),
+n AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS c FROM c GROUP BY 1)
 SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(array_to_string(b.labels, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(n.labels, [])))), ','), '') AS labels,
   CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score

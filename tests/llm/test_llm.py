@@ -397,6 +397,58 @@ def test_line_dedup_deletes_later_runs_only(spark):
     assert out[1].deleted_words == 60 and out[1].n_deleted == 1
 
 
+def brute_force_line_dedup(texts, least=50):
+    """(text, deleted lines) by comparing all passages of all documents."""
+    split = [[x.strip(" ") for x in t.split("\n")] if t is not None else [] for t in texts]
+    sizes = [[len(WORD.findall(x)) for x in lines] for lines in split]
+    out = []
+    for d, lines in enumerate(split):
+        full = [i for i, n in enumerate(sizes[d]) if n]
+        repeated = {i for i in range(len(lines)) if lines[i] in lines[:i] or not sizes[d][i]}
+        for other in range(d):
+            theirs = [x for x, n in zip(split[other], sizes[other]) if n]
+            for a in range(len(full)):
+                for b in range(len(theirs)):
+                    k = total = 0
+                    while a + k < len(full) and b + k < len(theirs) and lines[full[a + k]] == theirs[b + k]:
+                        total += sizes[d][full[a + k]]
+                        k += 1
+                    if total >= least:
+                        repeated |= set(range(full[a], full[a + k - 1] + 1))
+        gone, at = set(), 0
+        while at < len(lines):
+            end = at
+            while end < len(lines) and end in repeated:
+                end += 1
+            if sum(sizes[d][at:end]) >= least:
+                gone |= set(range(at, end))
+            at = max(end, at + 1)
+        raw = texts[d].split("\n") if texts[d] is not None else []
+        out.append((None if texts[d] is None else "\n".join(x for i, x in enumerate(raw) if i not in gone), len(gone), sum(sizes[d][i] for i in gone)))
+    return out
+
+
+def test_line_dedup_matches_brute_force(spark):
+    rng = np.random.default_rng(9)
+    pool = [f"line {k} " + " ".join(f"w{x}" for x in rng.integers(0, 99, rng.integers(1, 25))) for k in range(25)] + ["", "  ", "short"]
+    texts = ["\n".join(rng.choice(pool, rng.integers(1, 25))) for _ in range(25)]
+    for _ in range(15):
+        source = texts[rng.integers(0, len(texts))].split("\n")
+        a = rng.integers(0, len(source))
+        texts.append("\n".join([*rng.choice(pool, 3), *source[a : a + 9], *rng.choice(pool, 2)]))
+    texts += [None, "", texts[0]]
+    out = {r.doc_id: r for r in linededup.dedupe_lines(documents(spark, texts)).collect()}
+    want = brute_force_line_dedup(texts)
+    assert [(out[i].text, out[i].n_deleted, out[i].deleted_words) for i in range(len(texts))] == want
+    assert sum(n for _, n, _ in want) > 50
+
+
+def test_line_dedup_ends_on_a_document_of_many_lines(spark):
+    texts = ["\n".join(f"line {k % 90_000}" for k in range(100_000)), "\n".join(f"line {k}" for k in range(50_000, 60_000))]
+    out = {r.doc_id: r for r in linededup.dedupe_lines(documents(spark, texts)).collect()}
+    assert (out[0].n_deleted, out[1].n_deleted, out[1].text) == (10_000, 10_000, "")
+
+
 def line_texts(rng, n, size, tag):
     return [" ".join(f"{tag}{x}" for x in rng.integers(0, 10**6, size)) for _ in range(n)]
 
@@ -465,12 +517,32 @@ def test_mixing_nears_targets_and_reruns_agree(spark):
 
 
 def test_license_templates_are_found(spark):
+    grant = next(t for k, t in licenses.TEMPLATES if k == "isc")
     texts = ["x\nReleased under the MIT License.\ny", "licensed under CC BY NC 4 0 by us", "MIT\nlicense", "the apache license and the General Public License", "plain under the by"]
+    texts += [grant[:60] + "\n" + grant[60:], "x " * 500 + grant + " y" * 500, ("pad " * 40).join(grant.split(" "))]
     out = {r.doc_id: r for r in licenses.scan_licenses(documents(spark, texts)).collect()}
     assert (out[0].labels, out[0].n_base, out[0].first_word) == ("mit", 1, 4)
     assert (out[1].labels, out[1].base_labels, out[1].n_base, out[1].first_word) == ("cc-by-nc", "", 0, None)
     assert out[2].base_labels == "mit" and out[3].base_labels == "apache,gpl" and out[3].last_word == 5
     assert (out[4].labels, out[4].score) == ("", 0.0)
+    assert (out[5].labels, out[6].labels, out[7].labels) == ("isc", "isc", "")
+
+
+def test_license_blocks_match_brute_force(spark):
+    draw = np.random.default_rng(11)
+    templates = (("a", "one two three four five six seven"), ("b", "three rare words of five"), ("c", "one one two two three"))
+    pool = ["one", "two", "three", "four", "five", "six", "seven", "rare", "words", "of", "x", "y", "z\n"]
+    texts = [" ".join(draw.choice(pool, draw.integers(1, 60))) for _ in range(200)] + ["", None]
+    out = {r.doc_id: r for r in licenses.scan_licenses(documents(spark, texts), templates=templates, threshold=(7, 10)).collect()}
+    for i, t in enumerate(texts):
+        w, labels, score = re.findall(r"[a-z]+", t or ""), set(), 0.0
+        for label, text in templates:
+            own, long = set(text.split()), licenses.longest_block(text)
+            best = max((len(own & set(w[k : k + long])) for k in range(len(w))), default=0)
+            if best >= licenses.needed(text, (7, 10)):
+                labels.add(label)
+                score = max(score, best / len(own))
+        assert (out[i].labels, out[i].score) == (",".join(sorted(labels)), pytest.approx(score))
 
 
 OPERATORS = {
