@@ -3,72 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from koinea.llm import langid, linededup, minhash, mixing, sentencepieces
+from koinea.llm import stages
 from koinea.llm._tables import written
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def _with_length(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast("long"))
-
-
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids, and those without doc_id."""
-    return docs.join(ids.select(F.col("doc_id").alias("_kept")).distinct().hint("shuffle_hash"), F.col("doc_id") == F.col("_kept"), "left").where(
-        "doc_id is null or _kept is not null"
-    ).select(*docs.columns)
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is accepted, with lang set to it; `und` and unsure documents go."""
-    model = langid.train(langid.training_sample(docs, ~langid.held_out(F.col("doc_id"), 4), 700, 4000))
-    return langid.labelled(docs, model).where("accepted").select(
-        *[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in COLUMNS]
-    )
-
-
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later repeated runs of lines; those with nothing else go."""
-    deduped = linededup.dedupe_lines(docs)
-    return _with_length(deduped.where("n_deleted = 0 or trim(text) <> ''").select(*COLUMNS))
-
-
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the first, of each group of near copies."""
-    found = minhash.near_duplicates(docs)
-    return _kept(docs, found.where("kept")).select(*COLUMNS)
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that sources near their target weights."""
-    return mixing.mix_sources(docs.select(*COLUMNS))
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix."""
-    return sentencepieces.encode(docs, verify=False).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip"
-    )
-
-
 STAGES = [
-    ("language ID", language),
-    ("line dedup", lines),
-    ("MinHash near-dedup", near_copies),
-    ("mixing sources to target weights", mixture),
-    ("SentencePiece encoding and decoding", tokens),
+    ("language ID", stages.language),
+    ("line dedup", stages.lines),
+    ("MinHash near-dedup", stages.near_copies),
+    ("mixing sources to target weights", stages.mixture),
+    ("SentencePiece encoding and decoding", stages.tokens),
 ]
 
-#: Language identification and tokenising are not SQL; the tests hold the pipeline against brute force.
+#: Language identification and tokenising are not SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
