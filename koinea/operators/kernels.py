@@ -237,33 +237,29 @@ def weighted_distances(pairs: DataFrame, costs: Mapping, prefixes: Mapping | Non
     return pairs.join(unique, keys, "left")
 
 
-def merge_letter_alignments(rows: DataFrame) -> DataFrame:
-    """Letter alignments of one CODA word in several dialects merged by letter position.
+def spelled_pairs(coda: Column, pairs: Column) -> Column:
+    """The pairs of a letter alignment that spell the word, one for each letter.
 
-    rows: (coda, dialect, ord, pairs). The last row of a dialect (by ord) counts. Gives (coda, position,
-    letter, by_dialect map<string,string>); insertions go with the letter before them as pipe-joined
-    phonemes. Words whose letters differ between dialects are dropped.
+    Walking along the word, a pair whose letter is not the word's at that place is taken out, so that
+    insertions and doubled letters go and the word itself is never lost.
     """
-    kind = "coda string, position int, letter string, by_dialect map<string,string>"
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        last = group.sort_values("ord").drop_duplicates("dialect", keep="last")
-        found: dict[str, list[list[str]]] = {}
-        for d, pairs in zip(last["dialect"], last["pairs"], strict=True):
-            own: list[list[str]] = []
-            for x in pairs:
-                if x["src"] != GAP:
-                    own.append([x["src"], x["tgt"]])
-                elif own:
-                    own[-1][1] += f"|{x['tgt']}"
-            found[d] = own
-        spelled = {tuple(x[0] for x in own) for own in found.values()}
-        if len(spelled) != 1:
-            return pd.DataFrame(columns=["coda", "position", "letter", "by_dialect"])
-        letters = next(iter(spelled))
-        return pd.DataFrame(
-            [(group["coda"].iloc[0], k, x, {d: own[k][1] for d, own in found.items()}) for k, x in enumerate(letters)],
-            columns=["coda", "position", "letter", "by_dialect"],
-        )
 
-    return rows.groupBy("coda").applyInPandas(merge, kind)
+    def step(own: Column, k: Column) -> Column:
+        fits = F.coalesce(F.get(own, k)["src"] == F.substr(coda, k + 1, F.lit(1)), F.lit(False))
+        rest = F.slice(own, k + 2, F.greatest(F.size(own) - k - 1, F.lit(0)))
+        return F.when(fits, own).otherwise(F.concat(F.slice(own, F.lit(1), k), rest))
+
+    walked = F.aggregate(F.sequence(F.lit(0), F.length(coda) - 1), pairs, step)
+    return F.when(F.length(coda) > 0, F.slice(walked, F.lit(1), F.length(coda)))
+
+
+def merge_letter_alignments(rows: DataFrame) -> DataFrame:
+    """Letter alignments of CODA words in several dialects merged by letter position.
+
+    rows: (coda, dialect, ord, pairs). Gives (coda, position, letter, by_dialect map<string,string>). At
+    each position the last row of a dialect (by ord) counts; rows with a null are left out.
+    """
+    told = rows.dropna(subset=["coda", "dialect", "pairs"]).select("coda", "dialect", "ord", F.posexplode(spelled_pairs(F.col("coda"), F.col("pairs"))).alias("position", "pair"))
+    last = told.groupBy("coda", "position", "dialect").agg(F.max_by("pair.tgt", "ord").alias("tgt"))
+    merged = last.groupBy("coda", "position").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dialect", "tgt")))).alias("by_dialect"))
+    return merged.select("coda", "position", F.substr("coda", F.col("position") + 1, F.lit(1)).alias("letter"), "by_dialect")

@@ -10,6 +10,7 @@ from koinea.functions.scoring import freq_softmax, gate
 from koinea.operators import alignment as A
 from koinea.operators import generality as G
 from koinea.operators import kernels
+from koinea.operators.counting import counter_maps
 from koinea.plans.registry import query, table
 
 
@@ -88,29 +89,34 @@ def phrase_contains(spark, d):
     return near.join(docs(spark, d).select("doc_id", "text"), "doc_id").where(F.contains("text", "phrase")).select("item_id", "phrase", "doc_id")
 
 
-_TOP = """WITH t AS (SELECT {g} AS grp, unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents),
-c AS (SELECT grp, word, count(*)::BIGINT AS n FROM t WHERE regexp_matches(word, '^[a-z]{{3,}}$') AND grp IS NOT NULL GROUP BY 1, 2),
-k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, word) AS r FROM c) WHERE r <= {top}),
-p AS (SELECT a.word, a.grp, b.grp AS tgt_grp, b.word AS tgt_word, b.n AS freq, levenshtein(a.word, b.word)::DOUBLE / greatest(length(a.word), length(b.word)) AS distance
-  FROM k a JOIN k b ON a.grp <> b.grp)"""
-_BY_LANG, _BY_SOURCE = _TOP.format(g="lang", top=50), _TOP.format(g="source", top=12)
+_ALIGNED = """WITH j AS (SELECT a.conv_id, a.turn, min(a.text) AS text, min(b.text) AS reply FROM conversations a
+JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 GROUP BY 1, 2),
+w AS (SELECT 'g' || turn % 8 AS g, 'g' || (turn + 1) % 8 AS h, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS a, list_filter(string_split_regex(lower(reply), '[^a-z]+'), lambda x: x <> '') AS b FROM j),
+z AS (SELECT g, h, a[i] AS a, b[i] AS b FROM (SELECT *, unnest(range(1, least(len(a), len(b)) + 1)) AS i FROM w)),
+p AS (SELECT *, levenshtein(word, tgt_word)::DOUBLE / greatest(length(word), length(tgt_word)) AS distance FROM
+  (SELECT word, grp, tgt_grp, tgt_word, count(*)::BIGINT AS freq FROM (SELECT a AS word, g AS grp, h AS tgt_grp, b AS tgt_word FROM z UNION ALL SELECT b, h, g, a FROM z) GROUP BY ALL))"""
+CORE, OTHERS = [f"g{i}" for i in range(6)], ["g6", "g7"]
 
 
-def top_words(spark, d, group="lang", top=50):
-    return G.group_words(docs(spark, d), group, F.split(F.lower("text"), "[^a-z]+"), "^[a-z]{3,}$", top)
+def aligned_turns(spark, d):
+    """All words of all turns against the words at the same place of the next turn; a turn's number modulo 8 is its group."""
+    words = lambda c: F.filter(F.split(F.lower(c), "[^a-z]+"), lambda x: x != "")
+    group = lambda k: F.concat(F.lit("g"), ((F.col("turn") + k) % 8).cast("string"))
+    rows = turns(spark, d).select(group(0).alias("g"), words("text").alias("a"), group(1).alias("h"), words("reply").alias("b"))
+    return G.distances(G.aligned_words(rows, "g", "a", "h", "b"))
 
 
-@query("edit_distance_pairs", f"{_BY_LANG} SELECT word, grp, tgt_grp, tgt_word, round(distance, 6) AS distance FROM p WHERE distance <= 0.5")
+@query("edit_distance_pairs", f"{_ALIGNED} SELECT word, grp, tgt_grp, tgt_word, round(distance, 6) AS distance FROM p WHERE distance <= 0.5")
 def edit_distance_pairs(spark, d):
-    return G.cross_distances(top_words(spark, d)).where("distance <= 0.5").select("word", "grp", "tgt_grp", "tgt_word", F.round("distance", 6).alias("distance"))
+    return aligned_turns(spark, d).where("distance <= 0.5").select("word", "grp", "tgt_grp", "tgt_word", F.round("distance", 6).alias("distance"))
 
 
-_AFFIX = f"""{_BY_LANG}, a AS (SELECT grp, word, tgt_word, CASE WHEN length(word) - length(tgt_word) BETWEEN 1 AND 3 AND suffix(word, tgt_word) THEN substr(word, 1, length(word) - length(tgt_word)) END AS prefix,
+_AFFIX = f"""{_ALIGNED}, a AS (SELECT grp, word, tgt_word, CASE WHEN length(word) - length(tgt_word) BETWEEN 1 AND 3 AND suffix(word, tgt_word) THEN substr(word, 1, length(word) - length(tgt_word)) END AS prefix,
 CASE WHEN length(word) - length(tgt_word) BETWEEN 1 AND 3 AND prefix(word, tgt_word) THEN substr(word, length(tgt_word) + 1) END AS suffix FROM p WHERE distance > 0 AND distance <= 0.5 AND freq >= 1)"""
 
 
 def affixes(spark, d):
-    near = G.cross_distances(top_words(spark, d)).where("distance > 0 and distance <= 0.5 and freq >= 1")
+    near = aligned_turns(spark, d).where("distance > 0 and distance <= 0.5 and freq >= 1")
     return near.select("grp", "word", "tgt_word", X.prefix_of(F.col("word"), F.col("tgt_word")).alias("prefix"), X.suffix_of(F.col("word"), F.col("tgt_word")).alias("suffix"))
 
 
@@ -134,46 +140,81 @@ _SOFT = "SELECT word, grp, tgt_grp, {} FROM (SELECT *, min(distance) OVER (PARTI
 
 @query(
     "cross_group_distance",
-    f"""{_BY_LANG}, m AS (SELECT word, grp, tgt_grp, min(distance) AS dist FROM p GROUP BY 1, 2, 3),
-g AS (SELECT count(DISTINCT grp) AS n FROM k)
+    f"""{_ALIGNED}, m AS (SELECT word, grp, tgt_grp, min(distance) AS dist FROM p GROUP BY 1, 2, 3),
+g AS (SELECT count(DISTINCT grp) AS n FROM p)
 SELECT word, grp, round((sum(1.0 / (1.0 + exp(-20.0 * (0.5 - dist)))) + 1.0 / (1.0 + exp(-10.0)) + (max(g.n) - 1 - count(*)) * (1.0 / (1.0 + exp(10.0)))) / max(g.n), 6) AS score
 FROM m, g GROUP BY word, grp""",
 )
 def cross_group_distance(spark, d):
-    """The flagship: how close each frequent word of a language is to the words of all others."""
-    words = top_words(spark, d)
-    groups = words.select("grp").distinct().count()
-    found = G.scores(G.group_distances(G.cross_distances(words)), groups)
+    """The flagship: how close each word of a group is to the words that all other groups have in its place."""
+    pairs = aligned_turns(spark, d)
+    groups = pairs.select("grp").distinct().count()
+    found = G.scores(G.group_distances(pairs), groups)
     return found.select("word", "grp", F.round("min_t_0_5_k_20", 6).alias("score"))
 
 
 @query(
     "gated_score",
-    f"""{_BY_SOURCE}, m AS (SELECT word, grp, tgt_grp, min(distance) AS dist FROM p GROUP BY 1, 2, 3)
+    f"""{_ALIGNED}, m AS (SELECT word, grp, tgt_grp, min(distance) AS dist FROM p GROUP BY 1, 2, 3)
 SELECT word, grp, """
     + ", ".join(f"round(avg(1.0 / (1.0 + exp(-20.0 * ({t} - dist)))), 6) AS t_{str(t).replace('.', '_')}" for t in (0.3, 0.4, 0.5))
     + " FROM m GROUP BY 1, 2",
 )
 def gated_score(spark, d):
-    found = G.group_distances(G.cross_distances(top_words(spark, d, "source", 12)))
+    found = G.group_distances(aligned_turns(spark, d))
     return found.groupBy("word", "grp").agg(*[F.round(F.avg(gate(F.col("d_min"), t)), 6).alias(f"t_{str(t).replace('.', '_')}") for t in (0.3, 0.4, 0.5)])
 
 
-@query("freq_softmax", f"{_BY_LANG} " + _SOFT.format("round(sum(freq * exp(-5.0 * (distance - low)) * distance) / sum(freq * exp(-5.0 * (distance - low))), 6) AS distance"))
+@query("freq_softmax", f"{_ALIGNED} " + _SOFT.format("round(sum(freq * exp(-5.0 * (distance - low)) * distance) / sum(freq * exp(-5.0 * (distance - low))), 6) AS distance"))
 def freq_softmax_query(spark, d):
-    return G.group_distances(G.cross_distances(top_words(spark, d))).select("word", "grp", "tgt_grp", F.round("d_soft", 6).alias("distance"))
+    return G.group_distances(aligned_turns(spark, d)).select("word", "grp", "tgt_grp", F.round("d_soft", 6).alias("distance"))
 
 
 @query(
     "corpus_tag",
-    f"""{_BY_SOURCE}, s AS (SELECT word, list(DISTINCT grp) AS l, max(CASE WHEN grp IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5') THEN 0 ELSE 1 END) AS extra FROM k GROUP BY 1)
-SELECT word, (CASE WHEN extra = 1 THEN 26 ELSE 6 END)::INTEGER AS corpus, len(l)::BIGINT AS present FROM s""",
+    f"""{_ALIGNED}, s AS (SELECT word, grp, tgt_grp FROM p UNION SELECT word, grp, grp FROM p)
+SELECT word, grp, (CASE WHEN max(CASE WHEN tgt_grp IN ('g6', 'g7') THEN 1 ELSE 0 END) = 1 THEN 26 ELSE 6 END)::INTEGER AS corpus, count(*)::BIGINT AS present FROM s GROUP BY 1, 2""",
 )
 def corpus_tag(spark, d):
     """26 for a word with any slot beyond the six core groups, else 6."""
-    core = [f"src{i}" for i in range(6)]
-    slots = top_words(spark, d, "source", 12).groupBy("word").agg(F.collect_set("grp").alias("slots"))
-    return slots.select("word", F.when(F.exists("slots", lambda x: ~x.isin(core)), 26).otherwise(6).alias("corpus"), F.size("slots").cast("long").alias("present"))
+    pairs = aligned_turns(spark, d)
+    slots = pairs.select("word", "grp", "tgt_grp").unionByName(pairs.select("word", "grp", F.col("grp").alias("tgt_grp"))).distinct()
+    beyond = F.max(F.when(F.col("tgt_grp").isin(CORE), 0).otherwise(1)) == 1
+    return slots.groupBy("word", "grp").agg(F.when(beyond, 26).otherwise(6).alias("corpus"), F.count("*").alias("present"))
+
+
+def _score_sql() -> str:
+    rest = "1.0 / (1.0 + exp(20.0 * (1.0 - {t})))"
+    columns = []
+    for label, c in (("min", "d_min"), ("softmax", "d_soft")):
+        for t in (0.3, 0.4, 0.5):
+            gate_ = f"1.0 / (1.0 + exp(-20.0 * ({t} - {c})))"
+            name = f"{label}_t_{str(t).replace('.', '_')}_k_20"
+            six = f"(coalesce(sum(CASE WHEN core THEN {gate_} END), 0) + (6 - count(CASE WHEN core THEN 1 END)) * {rest.format(t=t)}) / 6"
+            every = f"(sum({gate_}) + (8 - count(*)) * {rest.format(t=t)}) / 8"
+            columns += [f"round({six}, 6) AS {name}_c6", f"round(CASE WHEN bool_or(NOT core) THEN {every} END, 6) AS {name}_c26"]
+    return f"""{_ALIGNED},
+l AS (SELECT *, min(distance) OVER (PARTITION BY word, grp, tgt_grp) AS low FROM p),
+d AS (SELECT word, grp, tgt_grp, min(distance) AS d_min, sum(freq * exp(-5.0 * (distance - low)) * distance) / sum(freq * exp(-5.0 * (distance - low))) AS d_soft FROM l GROUP BY 1, 2, 3
+  UNION ALL SELECT DISTINCT word, grp, grp, 0.0, 0.0 FROM p),
+e AS (SELECT *, tgt_grp IN ('g0', 'g1', 'g2', 'g3', 'g4', 'g5') AS core FROM d)
+SELECT word, grp, (CASE WHEN bool_or(NOT core) THEN 26 ELSE 6 END)::INTEGER AS corpus, {', '.join(columns)} FROM e GROUP BY 1, 2"""
+
+
+@query("score_table", _score_sql())
+def score_table(spark, d):
+    """The wide score table with twelve gated scores of every word, over the core groups and over all."""
+    found = G.score_table(G.group_distances(aligned_turns(spark, d)), CORE, OTHERS)
+    return found.select(*[F.round(c, 6).alias(c) if "_t_" in c else F.col(c) for c in found.columns])
+
+
+@query("score_maps", f"""{_ALIGNED}, c AS (SELECT word, grp, tgt_grp, string_agg(tgt_word || '=' || freq, ';' ORDER BY tgt_word) AS counts FROM p GROUP BY 1, 2, 3)
+SELECT word, grp, tgt_grp, md5(counts) AS counts FROM c""")
+def score_maps(spark, d):
+    """Grouped alignments: for each word and other group the count map of the words aligned with it."""
+    maps = counter_maps(aligned_turns(spark, d).withColumnRenamed("freq", "n"), ["word", "grp", "tgt_grp"], "tgt_word")
+    entries = F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return maps.select("word", "grp", "tgt_grp", F.md5(F.array_join(entries, ";")).alias("counts"))
 
 
 def turns(spark, d):
@@ -279,6 +320,30 @@ def _word_pairs(spark, d):
     return docs(spark, d).select(F.explode(words).alias("src")).distinct().repartition(parts, "src").select("src", F.reverse("src").alias("tgt"))
 
 
+_LETTERS = """WITH RECURSIVE w AS (SELECT DISTINCT lang AS dialect, unnest(string_split_regex(lower(text), '[^a-z]+')) AS coda FROM documents WHERE lang IS NOT NULL),
+s AS (SELECT coda, dialect, len(coda) AS n, list_concat(list_concat([{'src': coda[1], 'tgt': upper(coda[1])}, {'src': '-1', 'tgt': 'x'}],
+  list_transform(range(2, len(coda) + 1), lambda k: {'src': coda[k], 'tgt': dialect || coda[k]})), [{'src': coda[-1], 'tgt': 'y'}]) AS own FROM w WHERE len(coda) > 2),
+r AS (SELECT coda, dialect, n, 0 AS k, own FROM s UNION ALL
+  SELECT coda, dialect, n, k + 1, CASE WHEN own[k + 1].src = coda[k + 1] THEN own ELSE list_concat(own[:k], own[k + 2:]) END FROM r WHERE k < n),
+e AS (SELECT coda, dialect, unnest(range(1, n + 1)) AS i, own FROM r WHERE k = n)
+SELECT coda, (i - 1)::INTEGER AS position, coda[i] AS letter, string_agg(dialect || ':' || own[i].tgt, ' ' ORDER BY dialect) AS by_dialect FROM e GROUP BY coda, i"""
+
+
+@query("letter_merge", _LETTERS)
+def letter_merge(spark, d):
+    """Letter alignments of each word, with an insertion and a doubled last letter, merged over the languages that have it."""
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 2)
+    seen = docs(spark, d).where("lang is not null").select(F.col("lang").alias("dialect"), F.explode(words).alias("coda")).distinct()
+    pair = lambda src, tgt: F.struct(src.alias("src"), tgt.alias("tgt"))
+    letters, last = F.split("coda", ""), F.substring("coda", -1, 1)
+    first = F.substring("coda", 1, 1)
+    middle = F.transform(F.slice(letters, F.lit(2), F.length("coda") - 1), lambda x: pair(x, F.concat("dialect", x)))
+    made = F.concat(F.array(pair(first, F.upper(first)), pair(F.lit(kernels.GAP), F.lit("x"))), middle, F.array(pair(last, F.lit("y"))))
+    merged = kernels.merge_letter_alignments(seen.select("coda", "dialect", F.lit(1).alias("ord"), made.alias("pairs")))
+    shown = F.array_join(F.transform(F.map_entries("by_dialect"), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), " ")
+    return merged.select("coda", "position", "letter", shown.alias("by_dialect"))
+
+
 @query("spelling_alignment")
 def spelling_alignment(spark, d):
     """Character alignment of words with their reversals; checked against goldens in the tests."""

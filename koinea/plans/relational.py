@@ -132,12 +132,12 @@ def normalize_dist(spark, d):
     return normalized(some, ["dialect", "a"], "p").withColumn("p", F.round("p", 6))
 
 
-_COST = f"""WITH {_FLAGS}, x AS (SELECT dialect, a, b, pba AS v FROM p WHERE dialect < 8)
+_COST = f"""WITH {_FLAGS}, x AS (SELECT dialect, a, b, pba AS v FROM p)
 SELECT x.dialect AS d1, x.a AS l1, y.dialect AS d2, y.a AS l2, {{}} AS cost FROM x JOIN x y ON x.b = y.b GROUP BY 1, 2, 3, 4"""
 
 
 def costs(spark, d):
-    v = flags(spark, d, None).where("dialect < 8").select("dialect", "a", "b", F.col("p_b_given_a").alias("v"))
+    v = flags(spark, d, None).select("dialect", "a", "b", F.col("p_b_given_a").alias("v"))
     left = v.select(F.col("dialect").alias("d1"), F.col("a").alias("l1"), "b", F.col("v").alias("v1"))
     right = v.select(F.col("dialect").alias("d2"), F.col("a").alias("l2"), "b", F.col("v").alias("v2"))
     return left.join(right, "b").groupBy("d1", "l1", "d2", "l2").agg((1.0 - F.sum(F.col("v1") * F.col("v2"))).alias("cost"))

@@ -50,9 +50,17 @@ def read_wide_corpus(spark: SparkSession, path: str, varieties: Sequence[str], f
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of a text file. Line numbers are positions in the file, counted once over the whole file."""
-    rows = spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[1], x[0]))
-    return spark.createDataFrame(rows, "line_no long, value string")
+    """(line_no, value) of a text file. Line numbers are positions in the file, counted once over the whole file.
+
+    A line's place in its split comes from the scan; the splits' line counts, one row for each, give where
+    a split begins.
+    """
+    from pyspark.sql import Window
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    splits = lines.groupBy("f", "b").agg(F.min("i").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(splits.select("f", "b", "first", before.alias("before")), ["f", "b"]).select((F.col("before") + F.col("i") - F.col("first")).alias("line_no"), "value")
 
 
 def read_alignments(spark: SparkSession, pairs_path: str, ids_path: str) -> DataFrame:

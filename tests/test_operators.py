@@ -1,6 +1,7 @@
 """Operators against hand-made goldens and plain-Python oracles."""
 
 import itertools
+import math
 
 import pytest
 from hypothesis import given
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from koinea.operators import alignment as A
 from koinea.operators import cost as C
 from koinea.operators import counting as N
+from koinea.operators import generality as G
 from koinea.operators import kernels as K
 from koinea.operators import sampling as S
 from koinea.sources import tables as T
@@ -133,3 +135,41 @@ def test_sources(spark, tmp_path):
         T.require(spark.range(1), ["x"])
     df = spark.createDataFrame([('{"a": np.int64(3)}',)], "m string")
     assert T.read_json_map(df, "m").first().m == {"a": 3}
+
+
+def test_letter_alignments_keep_the_word_and_its_spelling(spark):
+    rows = [
+        ("bt", "X", 1, [("b", "b"), ("-1", "a"), ("t", "t"), ("t", "t")]),
+        ("bt", "Y", 1, [("b", "p"), ("t", "d")]),
+        ("bt", "Y", 2, [("b", "v")]),
+        ("", "X", 1, [("b", "b")]),
+        (None, "X", 1, [("b", "b")]),
+        ("q", "X", 1, []),
+    ]
+    frame = spark.createDataFrame(rows, "coda string, dialect string, ord int, pairs array<struct<src:string,tgt:string>>")
+    found = {(r.coda, r.position): (r.letter, r.by_dialect) for r in K.merge_letter_alignments(frame).collect()}
+    assert found == {("bt", 0): ("b", {"X": "b", "Y": "v"}), ("bt", 1): ("t", {"X": "t", "Y": "d"})}
+
+
+def test_score_table_has_both_corpora(spark):
+    rows = [("w", "a", "b", 0.0, 0.2), ("w", "a", "z", 1.0, 1.0), ("v", "b", "a", 0.5, 0.5)]
+    frame = spark.createDataFrame(rows, "word string, grp string, tgt_grp string, d_min double, d_soft double")
+    found = {r.word: r for r in G.score_table(frame, ["a", "b"], ["z"]).collect()}
+    gate = lambda d, t: 1 / (1 + math.exp(-20 * (t - d)))
+    assert (found["w"].corpus, found["v"].corpus, found["v"].min_t_0_5_k_20_c26) == (26, 6, None) and len(found["w"]) == 15
+    assert found["w"].min_t_0_5_k_20_c6 == pytest.approx((gate(0, 0.5) * 2) / 2)
+    assert found["w"].softmax_t_0_3_k_20_c26 == pytest.approx((gate(0, 0.3) + gate(0.2, 0.3) + gate(1, 0.3)) / 3)
+    assert found["v"].min_t_0_4_k_20_c6 == pytest.approx((gate(0, 0.4) + gate(0.5, 0.4)) / 2)
+
+
+def test_line_numbers_follow_the_file(spark, tmp_path):
+    lines = [f"line {k} " + "x" * (k % 50) for k in range(5000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        found = T.numbered_lines(spark, str(tmp_path / "a.txt")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r.value for r in sorted(found)] == lines and [r.line_no for r in sorted(found)] == list(range(5000))
