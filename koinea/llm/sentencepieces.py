@@ -10,7 +10,7 @@ import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache, reduce
+from functools import cached_property, lru_cache, reduce
 from itertools import chain
 
 import numpy as np
@@ -152,7 +152,7 @@ class Codec:
     """
 
     def __init__(self, model: PieceModel) -> None:
-        self.model, self.tokenizer, self.quick = model, build_tokenizer(model), None
+        self.model, self.quick = model, None
         self.by_word = words_stand_alone(model) and not model.charsmap and not model.squeeze_spaces and model.dummy_prefix and model.escape_spaces and model.byte_fallback
         if self.by_word:
             from tokenizers import pre_tokenizers
@@ -166,6 +166,11 @@ class Codec:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
 
+    @cached_property
+    def tokenizer(self):
+        """The whole tokenizer; most texts of a model that goes by word do without it."""
+        return build_tokenizer(self.model)
+
     def spelled(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes that ids spell, and the n+1 places where each list's begin; the space of the model's own prefix is left out."""
         sizes = self.sizes[flat]
@@ -219,7 +224,7 @@ class Encoder:
     and texts are put together from their words; any other text is encoded whole, by both.
     """
 
-    WORDS = 1 << 18  # words whose ids are kept for the next batch
+    WORDS = 1 << 17  # words whose ids are kept for the next batch
 
     def __init__(self, data: bytes, verify: bool = True) -> None:
         self.codec, self.check = codec(data), None
@@ -260,7 +265,10 @@ class Encoder:
         plain = single_spaces(texts) if self.codec.by_word else np.zeros(len(texts), bool)
         same, sizes = np.ones(len(texts), bool), np.zeros(len(texts), np.int64)
         whole = [texts[int(k)].as_py() or "" for k in np.flatnonzero(~plain)]
-        flat, at, same[~plain] = self._both(self.codec.tokenizer, whole)
+        if any(whole):
+            flat, at, same[~plain] = self._both(self.codec.tokenizer, whole)
+        else:
+            flat, at = np.zeros(0, np.int32), np.zeros(len(whole) + 1, np.int32)
         sizes[~plain] = np.diff(at)
         if not plain.any():
             return flat, at, same
@@ -329,7 +337,7 @@ def _encoder(data: bytes, verify: bool):
     return encode
 
 
-def _slices(texts: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about ``limit`` bytes each, or one longer text."""
     offsets = K.text_bytes(texts)[1]
     yield from K.doc_ranges(offsets, limit)
