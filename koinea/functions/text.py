@@ -22,9 +22,9 @@ def normalize_text(text: Column, fold: bool = True) -> Column:
     return F.regexp_replace(bare, "(?U)^\\s+|\\s+$", "")
 
 
-def spoken_form(text: Column) -> Column:
+def spoken_form(text: Column, fold: bool = True) -> Column:
     """Underscores as spaces, then normalised."""
-    return normalize_text(F.replace(text, F.lit("_"), F.lit(" ")))
+    return normalize_text(F.replace(text, F.lit("_"), F.lit(" ")), fold)
 
 
 def tokens(text: Column) -> Column:

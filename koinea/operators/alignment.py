@@ -2,27 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from koinea.functions.text import parse_pairs, tokens
+from koinea.functions.text import normalize_text, parse_pairs, positions_to_words, tokens
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once for a row, also where use needs it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def one_to_many(pairs: Column) -> Column:
-    """array<struct<src,tgt>> as map<int,array<int>> from each source to its sorted distinct targets."""
-    sources = F.array_sort(F.array_distinct(F.transform(pairs, lambda x: x["src"])))
-    return F.map_from_arrays(
-        sources, F.transform(sources, lambda s: F.array_sort(F.array_distinct(F.transform(F.filter(pairs, lambda x: x["src"] == s), lambda x: x["tgt"]))))
-    )
+    """array<struct<src,tgt>> as map<int,array<int>> from each source to its sorted distinct targets, in one walk."""
+    kind = "array<struct<key:int,value:array<int>>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        more = F.struct(x["src"].alias("key"), F.concat(last["value"], F.array(x["tgt"])).alias("value"))
+        fresh = F.struct(x["src"].alias("key"), F.array(x["tgt"]).alias("value"))
+        same = F.coalesce(last["key"] == x["src"], F.lit(False))
+        return F.when(same, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(more))).otherwise(F.concat(acc, F.array(fresh))).cast(kind)
+
+    ordered = F.array_sort(F.array_distinct(F.transform(pairs, lambda x: F.struct(x["src"].cast("int").alias("src"), x["tgt"].cast("int").alias("tgt")))))
+    return F.map_from_entries(F.aggregate(ordered, F.array().cast(kind), step))
 
 
 def alignment_table(df: DataFrame, key: Sequence[str], sentence: str, pairs: str) -> DataFrame:
     """A row for each word position of sentence with the sorted target positions aligned to it; row-local."""
-    spread = df.select(*key, pairs, F.posexplode(tokens(F.col(sentence))).alias("idx", "word"))
-    own = F.filter(pairs, lambda x: x["src"] == F.col("idx"))
-    return spread.select(*key, "idx", "word", F.array_sort(F.array_distinct(F.transform(own, lambda x: x["tgt"]))).alias("targets"))
+    none = F.array().cast("array<int>")
+    at = F.struct(tokens(F.col(sentence)).alias("words"), one_to_many(F.col(pairs)).alias("m"))
+    rows = bound(at, lambda c: F.transform(c["words"], lambda w, i: F.struct(i.alias("idx"), w.alias("word"), F.coalesce(F.element_at(c["m"], i), none).alias("targets"))))
+    return df.select(*key, F.explode(rows).alias("r")).select(*key, "r.idx", "r.word", "r.targets")
 
 
 def segment_fold(steps: Column, columns: Sequence[str]) -> Column:
@@ -33,24 +46,37 @@ def segment_fold(steps: Column, columns: Sequence[str]) -> Column:
     no lag window sees. Gives array<struct<idx:array<int>, <column>:array<int> ...>>.
     """
 
-    def tidy(x: Column) -> Column:
-        return F.array_sort(F.array_distinct(x))
+    kind = "struct<starts:array<int>,seen:int," + ",".join(f"{c}:array<int>" for c in columns) + ">"
 
-    def segment(x: Column) -> Column:
-        return F.struct(F.array(x["idx"].cast("int")).alias("idx"), *[tidy(x[c]).alias(c) for c in columns])
-
-    kind = "array<struct<idx:array<int>," + ",".join(f"{c}:array<int>" for c in columns) + ">>"
+    def tidy(x: Column) -> Column:
+        return F.array_sort(F.array_distinct(x)).cast("array<int>")
 
     def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
         same = F.lit(False)
         for c in columns:
-            same = same | ((F.size(x[c]) > 0) & F.coalesce(tidy(x[c]) == last[c], F.lit(False)))
-        merged = F.struct(F.concat(last["idx"], F.array(x["idx"].cast("int"))).alias("idx"), *[tidy(F.concat(last[c], x[c])).alias(c) for c in columns])
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(merged))
-        return F.when((F.size(acc) > 0) & same, grown).otherwise(F.concat(acc, F.array(segment(x)))).cast(kind)
+            same = same | ((F.size(x[c]) > 0) & F.coalesce(tidy(x[c]) == acc[c], F.lit(False)))
+
+        def moved(joins: Column) -> Column:
+            starts = F.when(joins, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["seen"])))
+            sets = [F.when(joins, tidy(F.concat(acc[c], x[c]))).otherwise(tidy(x[c])).alias(c) for c in columns]
+            return F.struct(starts.alias("starts"), (acc["seen"] + 1).alias("seen"), *sets).cast(kind)
+
+        return bound((acc["seen"] > 0) & same, moved)
+
+    def cut(c: Column) -> Column:
+        """Segments from where they start; only the open segment's sets travel along the walk."""
 
-    return F.aggregate(steps, F.array().cast(kind), step)
+        def segment(at: Column, k: Column) -> Column:
+            until = F.coalesce(F.get(c["starts"], k + 1), F.size(c["steps"]))
+            sets = lambda piece: [tidy(F.flatten(F.transform(piece, lambda x: x[v]))).alias(v) for v in columns]
+            return bound(F.slice(c["steps"], at + 1, until - at), lambda piece: F.struct(F.transform(piece, lambda x: x["idx"].cast("int")).alias("idx"), *sets(piece)))
+
+        return F.transform(c["starts"], segment)
+
+    none = F.array().cast("array<int>")
+    start = F.struct(none.alias("starts"), F.lit(0).alias("seen"), *[none.alias(c) for c in columns]).cast(kind)
+    walked = lambda s: F.struct(s.alias("steps"), F.aggregate(s, start, step)["starts"].alias("starts"))
+    return bound(bound(steps, walked), cut)
 
 
 def phrases(df: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -87,3 +113,47 @@ def blank_blocks(df: DataFrame, group: str, order: str, *lines: str) -> DataFram
 def parsed(df: DataFrame, line: str) -> DataFrame:
     """df with the pairs of an `i-j` line."""
     return df.withColumn("pairs", parse_pairs(F.col(line)))
+
+
+def phrase_rows(df: DataFrame, key: Sequence[str], base: str, varieties: Sequence[str], pairs: str = "pairs") -> DataFrame:
+    """Aligned phrases of parallel sentences: (key, segment, word, dialect, <base>, <varieties>).
+
+    df: the sentences by column and pairs, a map from variety to array<struct<src,tgt>> against the base
+    sentence. Positions of the base that share targets are merged by segment_fold(); a segment's phrases are the
+    words of its positions, null for a variety without any. There is one row for each phrase, with all
+    phrases of its segment beside it. Row-local: no shuffle. Rows without a base sentence give none.
+    """
+    columns, none = [base, *varieties], F.array().cast("array<int>")
+    words = [tokens(F.col(c)).alias(f"w{k}") for k, c in enumerate(columns)]
+    maps = [F.coalesce(one_to_many(F.element_at(pairs, v)), F.expr("cast(map() as map<int,array<int>>)")).alias(f"m{k}") for k, v in enumerate(varieties, 1)]
+
+    def segments(c: Column) -> Column:
+        positions = F.sequence(F.lit(0), F.size(c["w0"]) - 1)
+        steps = F.transform(positions, lambda i: F.struct(i.alias("idx"), *[F.coalesce(F.element_at(c[f"m{k}"], i), none).alias(v) for k, v in enumerate(varieties, 1)]))
+        own = lambda s, k, v: F.when(F.size(s[v]) > 0, positions_to_words(c[f"w{k}"], s[v])).alias(v)
+        return F.transform(segment_fold(steps, varieties), lambda s: F.struct(positions_to_words(c["w0"], s["idx"]).alias(base), *[own(s, k, v) for k, v in enumerate(varieties, 1)]))
+
+    told = df.where(F.size(tokens(F.col(base))) > 0).select(*key, F.posexplode(bound(F.struct(*words, *maps), segments)).alias("segment", "_s"))
+    entries = F.array(*[F.struct(F.lit(c).alias("dialect"), F.col(f"_s.{c}").alias("word")) for c in columns])
+    spread = told.withColumn("_e", F.explode(F.filter(entries, lambda x: x["word"] != "")))
+    return spread.select(*key, "segment", "_e.word", "_e.dialect", *[F.col(f"_s.{c}").alias(c) for c in columns])
+
+
+def grouped_phrases(phrases_: DataFrame, varieties: Sequence[str]) -> DataFrame:
+    """Count maps of phrase_rows() by normalised word and dialect: (word, dialect, <varieties> map<string,bigint>).
+
+    Phrases are counted before any map is built, so a frequent word costs one entry for each phrase it is
+    aligned with. A variety without phrases has an empty map.
+    """
+    entries = F.array(*[F.struct(F.lit(v).alias("variety"), F.col(v).alias("phrase")) for v in varieties])
+    long = phrases_.select(normalize_text(F.col("word")).alias("word"), "dialect", F.explode(entries).alias("e"))
+    counted = long.groupBy("word", "dialect", "e.variety", "e.phrase").agg(F.count("*").alias("n"))
+    own = lambda v: F.when((F.col("variety") == v) & (F.col("phrase") != ""), F.struct("phrase", "n"))
+    return counted.groupBy("word", "dialect").agg(*[F.map_from_entries(F.array_sort(F.collect_list(own(v)))).alias(v) for v in varieties])
+
+
+def phrase_pairs(grouped: DataFrame, varieties: Sequence[str]) -> DataFrame:
+    """grouped_phrases() as (word, grp, tgt_grp, tgt_word, freq) for the scores; a dialect is not paired with itself."""
+    entries = F.array(*[F.struct(F.lit(v).alias("tgt_grp"), F.map_entries(v).alias("m")) for v in varieties])
+    spread = grouped.select("word", F.col("dialect").alias("grp"), F.explode(entries).alias("e")).where("grp <> e.tgt_grp")
+    return spread.select("word", "grp", "e.tgt_grp", F.explode("e.m").alias("x")).select("word", "grp", "tgt_grp", F.col("x.key").alias("tgt_word"), F.col("x.value").alias("freq"))

@@ -107,3 +107,33 @@ def substitution_costs(requests: DataFrame, cond: DataFrame, phon: DataFrame, ra
         .otherwise(left)
     )
     return sided.join(full.select("a", "da", "b", "db", cost.alias("cost")), ["a", "da", "b", "db"]).drop("a", "da", "b", "db")
+
+
+def letter_evidence(merged: DataFrame, defaults: DataFrame, known: DataFrame) -> DataFrame:
+    """Counts how often a letter's phoneme speaks for sound or for origin: known plus phon_count, etym_count, total.
+
+    merged: (coda, position, letter, by_dialect) of merged letter alignments; defaults: (letter, caphi);
+    known: rows with (dialect, letter, caphi). If all phonemes at a place are defaults of the letter, each is
+    phonological. Else, if dialects differ there, each is etymological, the defaults phonological as well,
+    and both count twice in total. Places where all dialects share one other phoneme count nothing. Rows
+    without evidence get zeros. Evidence combines before its shuffle, so common letters cost little.
+    """
+    usual = defaults.groupBy("letter").agg(F.collect_set("caphi").alias("_usual"))  # a letter has few phonemes
+    placed = merged.join(usual, "letter", "left").withColumn("_usual", F.coalesce("_usual", F.array().cast("array<string>")))
+    heard = F.array_distinct(F.map_values("by_dialect"))
+    told = placed.select("letter", "_usual", (F.size(F.array_except(heard, F.col("_usual"))) == 0).alias("_plain"), (F.size(heard) > 1).alias("_differ"), F.explode("by_dialect").alias("dialect", "caphi"))
+    phon = F.col("_plain") | (F.col("_differ") & F.array_contains("_usual", F.col("caphi")))
+    etym = ~F.col("_plain") & F.col("_differ")
+    n = told.groupBy("dialect", "letter", "caphi").agg(
+        F.sum(phon.cast("long")).alias("phon_count"), F.sum(etym.cast("long")).alias("etym_count"), F.sum(F.when(F.col("_plain"), 1).when(etym, 2).otherwise(0)).alias("total")
+    )
+    return known.join(n, ["dialect", "letter", "caphi"], "left").fillna(0, ["phon_count", "etym_count", "total"])
+
+
+def evidence_examples(merged: DataFrame, defaults: DataFrame) -> DataFrame:
+    """(dialect, letter, caphi, coda): the words whose letter is etymological evidence, one row for each place."""
+    usual = defaults.groupBy("letter").agg(F.collect_set("caphi").alias("_usual"))
+    placed = merged.join(usual, "letter", "left").withColumn("_usual", F.coalesce("_usual", F.array().cast("array<string>")))
+    heard = F.array_distinct(F.map_values("by_dialect"))
+    differing = placed.where((F.size(heard) > 1) & (F.size(F.array_except(heard, F.col("_usual"))) > 0))
+    return differing.select("letter", "coda", F.explode("by_dialect").alias("dialect", "caphi")).select("dialect", "letter", "caphi", "coda")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from koinea.functions import text as X
 from koinea.functions.scoring import freq_softmax, gate
 from koinea.operators import alignment as A
+from koinea.operators import cost
 from koinea.operators import generality as G
 from koinea.operators import kernels
 from koinea.operators.counting import counter_maps
@@ -72,21 +73,29 @@ def mark_first(spark, d):
 
 @query(
     "phrase_contains",
-    f"""WITH p AS (SELECT item_id, {_split('text')}[1:2] AS w FROM benchmark),
-s AS (SELECT item_id, array_to_string(w, ' ') AS phrase, unnest(w) AS tok FROM p),
-t AS (SELECT DISTINCT doc_id, text, unnest({_split('text')}) AS tok FROM documents)
-SELECT DISTINCT item_id, phrase, doc_id FROM s JOIN t USING (tok) WHERE contains(text, phrase)""",
+    f"""WITH b AS (SELECT item_id, {_split('text')} AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, w[k] AS a, w[k + 1] AS b FROM (SELECT *, unnest(range(1, len(w))) AS k FROM b)),
+s AS (SELECT item_id, a || ' ' || b AS phrase, unnest([a, b]) AS tok FROM p),
+t AS (SELECT DISTINCT doc_id, text, unnest({_split('text')}) AS tok FROM documents),
+f AS (SELECT DISTINCT item_id, phrase, doc_id FROM s JOIN t USING (tok) WHERE contains(text, phrase))
+SELECT item_id, phrase, count(*)::BIGINT AS n_docs, min(doc_id) AS first_doc FROM f GROUP BY 1, 2""",
 )
 def phrase_contains(spark, d):
-    """Documents that hold a word of an item's two-word phrase as a token and contain the phrase.
+    """For each two neighbouring words of an item the documents that hold one of them as a token and contain both in a row.
 
     Candidates come from an equi-join on words; only ids travel with them, and texts join for the check.
     """
-    words = X.first_tokens(F.col("text"), 2)
-    items = table(spark, d, "benchmark").select("item_id", F.array_join(words, " ").alias("phrase"), F.explode(words).alias("tok"))
-    posts = docs(spark, d).select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("tok"))
-    near = items.join(posts, "tok").select("item_id", "phrase", "doc_id").distinct()
-    return near.join(docs(spark, d).select("doc_id", "text"), "doc_id").where(F.contains("text", "phrase")).select("item_id", "phrase", "doc_id")
+    w = X.tokens(F.col("text"))
+    two = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda k: F.struct(F.get(w, k - 1).alias("a"), F.get(w, k).alias("b")))
+    asked = table(spark, d, "benchmark").where(F.size(w) > 1).select("item_id", F.explode(F.array_distinct(two)).alias("p")).select("item_id", "p.a", "p.b")
+    phrase = F.concat("a", F.lit(" "), "b")
+    items = asked.select("item_id", phrase.alias("phrase"), F.explode(F.array_distinct(F.array("a", "b"))).alias("tok"))
+    posts = docs(spark, d).select("doc_id", F.explode(F.array_distinct(w)).alias("tok"))
+    phrases = items.select("phrase", "tok").distinct()
+    near = phrases.join(posts, "tok").select("phrase", "doc_id").distinct()
+    held = near.join(docs(spark, d).select("doc_id", "text"), "doc_id").where(F.contains("text", "phrase"))
+    found = held.groupBy("phrase").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    return items.select("item_id", "phrase").distinct().join(found, "phrase").select("item_id", "phrase", "n_docs", "first_doc")
 
 
 _ALIGNED = """WITH j AS (SELECT a.conv_id, a.turn, min(a.text) AS text, min(b.text) AS reply FROM conversations a
@@ -301,6 +310,53 @@ def segment_fold(spark, d):
     return merged.select("conv_id", F.col("segment").cast("long"), F.size("m.idx").cast("long").alias("positions"), F.array_join("m.a", ",").alias("a"), F.array_join("m.b", ",").alias("b"))
 
 
+_PHRASES = f"""WITH RECURSIVE r AS (SELECT a.conv_id, a.turn, min(a.text) AS text, min(b.text) AS reply FROM conversations a
+JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 GROUP BY 1, 2),
+x AS (SELECT conv_id, turn, {_split('text')} AS w, {_split("translate(text, 'aeiou', 'AEIOU')")} AS u, {_split('reply')} AS q FROM r WHERE text IS NOT NULL),
+s AS (SELECT conv_id, turn, i, CASE WHEN i // 2 < len(q) THEN [i // 2] ELSE [] END AS a, [i // 3] AS b FROM (SELECT *, unnest(range(0, len(w))) AS i FROM x)),
+f AS (SELECT conv_id, turn, i, 0 AS seg, a, b FROM s WHERE i = 0
+ UNION ALL
+ SELECT s.conv_id, s.turn, s.i, CASE WHEN (len(s.a) > 0 AND s.a = f.a) OR s.b = f.b THEN f.seg ELSE f.seg + 1 END,
+   CASE WHEN (len(s.a) > 0 AND s.a = f.a) OR s.b = f.b THEN list_sort(list_distinct(f.a || s.a)) ELSE s.a END,
+   CASE WHEN (len(s.a) > 0 AND s.a = f.a) OR s.b = f.b THEN list_sort(list_distinct(f.b || s.b)) ELSE s.b END
+ FROM f JOIN s ON s.conv_id = f.conv_id AND s.turn = f.turn AND s.i = f.i + 1),
+g AS (SELECT conv_id, turn, seg, min(i) AS lo, max(i) AS hi, arg_max(a, i) AS a, arg_max(b, i) AS b FROM f GROUP BY 1, 2, 3),
+p AS (SELECT conv_id, turn, seg, array_to_string(w[lo + 1:hi + 1], ' ') AS text, CASE WHEN len(a) > 0 THEN array_to_string(list_transform(a, lambda k: q[k + 1]), ' ') END AS reply,
+  array_to_string(list_transform(b, lambda k: u[k + 1]), ' ') AS loud FROM g JOIN x USING (conv_id, turn)),
+l AS (SELECT text AS word, 'text' AS dialect, * FROM p UNION ALL SELECT reply, 'reply', * FROM p WHERE reply IS NOT NULL UNION ALL SELECT loud, 'loud', * FROM p)"""
+
+
+def _phrases(spark, d):
+    """Turns with made alignments: each pair of words with one word of the reply, each three with one word of the text with loud vowels."""
+    rows = turns(spark, d).where("text is not null").withColumn("loud", F.translate("text", "aeiou", "AEIOU"))
+    at = F.when(F.size(X.tokens(F.col("text"))) > 0, F.sequence(F.lit(0), F.size(X.tokens(F.col("text"))) - 1))
+    pair = lambda k: lambda i: F.struct(i.alias("src"), F.floor(i / k).cast("int").alias("tgt"))
+    reply = F.filter(F.transform(at, pair(2)), lambda x: x["tgt"] < F.coalesce(F.size(X.tokens(F.col("reply"))), F.lit(0)))
+    made = F.create_map(F.lit("reply"), reply, F.lit("loud"), F.transform(at, pair(3)))
+    return A.phrase_rows(rows.withColumn("pairs", made), ["conv_id", "turn"], "text", ["reply", "loud"])
+
+
+@query("phrase_rows", f"{_PHRASES} SELECT conv_id, turn, seg::INTEGER AS segment, word, dialect, text, reply, loud FROM l")
+def phrase_rows(spark, d):
+    return _phrases(spark, d)
+
+
+_COUNTS = "string_agg(CASE WHEN variety = '{0}' THEN phrase || '=' || n END, ';' ORDER BY phrase) AS {0}"
+
+
+@query(
+    "grouped_phrases",
+    f"""{_PHRASES}, n AS (SELECT {_norm('word')} AS word, dialect, variety, phrase, count(*) AS n FROM
+  (SELECT word, dialect, unnest(['text', 'reply', 'loud']) AS variety, unnest([text, reply, loud]) AS phrase FROM l) GROUP BY 1, 2, 3, 4)
+SELECT word, dialect, {', '.join(f"coalesce({c.split(' AS ')[0]}, '') AS {c.split(' AS ')[1]}" for c in (_COUNTS.format(v) for v in ('text', 'reply', 'loud')))} FROM n GROUP BY 1, 2""",
+)
+def grouped_phrases(spark, d):
+    """The grouped alignment table: for each normalised word and dialect the count map of every variety."""
+    names = ["text", "reply", "loud"]
+    shown = lambda v: F.array_join(F.transform(F.map_entries(v), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";").alias(v)
+    return A.grouped_phrases(_phrases(spark, d), names).select("word", "dialect", *[shown(v) for v in names])
+
+
 @query(
     "blank_block_segment",
     """WITH l AS (SELECT doc_id, unnest(string_split(replace(text, '. ', chr(10) || chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(text, '. ', chr(10) || chr(10)), chr(10)), 1) AS i FROM documents),
@@ -332,6 +388,12 @@ SELECT coda, (i - 1)::INTEGER AS position, coda[i] AS letter, string_agg(dialect
 @query("letter_merge", _LETTERS)
 def letter_merge(spark, d):
     """Letter alignments of each word, with an insertion and a doubled last letter, merged over the languages that have it."""
+    shown = F.array_join(F.transform(F.map_entries("by_dialect"), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), " ")
+    return merged_letters(spark, d).select("coda", "position", "letter", shown.alias("by_dialect"))
+
+
+def merged_letters(spark, d):
+    """The words of each language as merged letter alignments."""
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 2)
     seen = docs(spark, d).where("lang is not null").select(F.col("lang").alias("dialect"), F.explode(words).alias("coda")).distinct()
     pair = lambda src, tgt: F.struct(src.alias("src"), tgt.alias("tgt"))
@@ -339,9 +401,25 @@ def letter_merge(spark, d):
     first = F.substring("coda", 1, 1)
     middle = F.transform(F.slice(letters, F.lit(2), F.length("coda") - 1), lambda x: pair(x, F.concat("dialect", x)))
     made = F.concat(F.array(pair(first, F.upper(first)), pair(F.lit(kernels.GAP), F.lit("x"))), middle, F.array(pair(last, F.lit("y"))))
-    merged = kernels.merge_letter_alignments(seen.select("coda", "dialect", F.lit(1).alias("ord"), made.alias("pairs")))
-    shown = F.array_join(F.transform(F.map_entries("by_dialect"), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), " ")
-    return merged.select("coda", "position", "letter", shown.alias("by_dialect"))
+    return kernels.merge_letter_alignments(seen.select("coda", "dialect", F.lit(1).alias("ord"), made.alias("pairs")))
+
+
+@query(
+    "letter_evidence",
+    f"""{_LETTERS.replace("SELECT coda, (i - 1)::INTEGER", ", z AS (SELECT coda, (i - 1)::INTEGER").replace("string_agg(dialect || ':' || own[i].tgt, ' ' ORDER BY dialect) AS by_dialect", "list(DISTINCT own[i].tgt) AS heard")}),
+u AS (SELECT DISTINCT coda[i] AS letter, own[i].tgt AS caphi FROM e WHERE own[i].tgt = upper(coda[i]) OR own[i].tgt = 'en' || coda[i]),
+g AS (SELECT letter, list(caphi) AS usual FROM u GROUP BY 1),
+o AS (SELECT dialect, e.coda[i] AS letter, own[i].tgt AS caphi, heard, coalesce(usual, []) AS usual FROM e JOIN z ON z.coda = e.coda AND z.position = e.i - 1 LEFT JOIN g ON g.letter = e.coda[i]),
+k AS (SELECT *, len(list_filter(heard, lambda x: NOT list_contains(usual, x))) = 0 AS plain FROM o)
+SELECT dialect, letter, caphi, count(CASE WHEN plain OR (len(heard) > 1 AND list_contains(usual, caphi)) THEN 1 END)::BIGINT AS phon_count,
+count(CASE WHEN NOT plain AND len(heard) > 1 THEN 1 END)::BIGINT AS etym_count, sum(CASE WHEN plain THEN 1 WHEN len(heard) > 1 THEN 2 ELSE 0 END)::BIGINT AS total FROM k GROUP BY 1, 2, 3""",
+)
+def letter_evidence(spark, d):
+    """Evidence for sound and origin of each letter's phonemes; a letter's defaults are its capital and its English one."""
+    merged = merged_letters(spark, d)
+    heard = merged.select("letter", F.explode("by_dialect").alias("dialect", "caphi"))
+    usual = heard.where((F.col("caphi") == F.upper("letter")) | (F.col("caphi") == F.concat(F.lit("en"), "letter"))).select("letter", "caphi").distinct()
+    return cost.letter_evidence(merged, usual, heard.select("dialect", "letter", "caphi").distinct())
 
 
 @query("spelling_alignment")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from koinea.functions.scoring import generalized_harmonic_mean, harmonic_mean, power_scale, ratio
 from koinea.operators.counting import contingency, counter, counter_maps, evidence, last_write, normalized, sum_product, top_term
+from koinea.operators.training import empty_slots, flatten_scores, slot_filter, unpack_scores
 from koinea.plans.registry import query, table
 from koinea.sources.tables import require
 
@@ -227,16 +228,46 @@ def word_mean(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("generality"))
 
 
-_SLOTS = """WITH n AS (SELECT o_custkey, o_orderpriority AS p, count(*)::BIGINT AS n FROM orders GROUP BY 1, 2),
-w AS (SELECT c_custkey, 5 - (SELECT count(*) FROM n WHERE o_custkey = c_custkey) AS missing FROM customer)"""
+_SLOTS = """WITH m AS (SELECT c_custkey, c_mktsegment, c_acctbal, (SELECT count(DISTINCT o_orderpriority) FROM orders WHERE o_custkey = c_custkey) AS held FROM customer),
+w AS (SELECT c_custkey AS id, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 6 ELSE 26 END AS corpus, 5 - held AS missing, c_acctbal FROM m)"""
+SLOTS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
-@query("null_slot_filter", f"{_SLOTS} SELECT c_custkey, missing::BIGINT AS missing FROM w WHERE missing <= 1")
+def slot_table(spark, d):
+    """Customers with a count map of order states for each priority, a corpus by market segment, and score maps."""
+    clerks = counter(table(spark, d, "orders"), ["o_custkey", "o_orderpriority"], "o_orderstatus", "o_orderkey")
+    entry = lambda v: F.when(F.col("o_orderpriority") == v, F.struct("o_orderstatus", "n"))
+    maps = clerks.groupBy(F.col("o_custkey").alias("c_custkey")).agg(*[F.map_from_entries(F.array_sort(F.collect_list(entry(v)))).alias(f"s{k}") for k, v in enumerate(SLOTS)])
+    corpus = F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), 6).otherwise(26)
+    scores = F.when(corpus == 26, F.create_map(F.lit(6), "c_acctbal", F.lit(26), -F.col("c_acctbal"))).otherwise(F.create_map(F.lit(6), "c_acctbal"))
+    base = table(spark, d, "customer").select("c_custkey", F.lit("word").alias("word"), F.col("c_mktsegment").alias("dialect"), corpus.alias("corpus"), scores.alias("score"))
+    return base.join(maps, "c_custkey", "left")
+
+
+@query("null_slot_filter", f"{_SLOTS} SELECT id AS c_custkey, corpus::INTEGER AS corpus, missing::BIGINT AS missing FROM w WHERE missing <= CASE corpus WHEN 6 THEN 0 ELSE 1 END")
 def null_slot_filter(spark, d):
-    """Customers whose map of five priority slots has at most one empty slot."""
-    n = table(spark, d, "orders").select("o_custkey", "o_orderpriority").distinct().groupBy("o_custkey").agg(F.count("*").alias("n"))
-    joined = table(spark, d, "customer").join(n, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return joined.select("c_custkey", (5 - F.coalesce("n", F.lit(0))).alias("missing")).where("missing <= 1")
+    """Rows with no empty slot in corpus 6, at most one in corpus 26."""
+    slots = [f"s{k}" for k in range(len(SLOTS))]
+    kept = slot_filter(slot_table(spark, d), slots, {6: 0, 26: 1})
+    return kept.select("c_custkey", "corpus", empty_slots(slots).cast("long").alias("missing"))
+
+
+@query("unpack_scores", f"{_SLOTS} SELECT id AS c_custkey, c_acctbal::DOUBLE AS score_c6, CASE WHEN corpus = 26 THEN -c_acctbal::DOUBLE END AS score_c26 FROM w")
+def unpack_scores_query(spark, d):
+    found = unpack_scores(slot_table(spark, d), ["score"])
+    return found.select("c_custkey", *[F.col(c).cast("double").alias(c) for c in ("score_c6", "score_c26")])
+
+
+@query(
+    "flatten_scores",
+    f"""{_SLOTS} SELECT 26 AS level, id AS c_custkey, CASE WHEN corpus = 26 THEN -c_acctbal ELSE c_acctbal END::DOUBLE AS score FROM w
+UNION ALL SELECT 6, id, w.c_acctbal::DOUBLE FROM w JOIN customer c ON c.c_custkey = id WHERE c_mktsegment = 'BUILDING'""",
+)
+def flatten_scores_query(spark, d):
+    """Each row's score of its own corpus, and the core dialect's rows with the score of 6."""
+    whole = slot_table(spark, d)
+    parts = [flatten_scores(whole, ["score"], n, ["BUILDING"]).select(F.lit(n).alias("level"), "c_custkey", F.col("score").cast("double").alias("score")) for n in (26, 6)]
+    return parts[0].unionByName(parts[1])
 
 
 @query(

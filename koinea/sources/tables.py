@@ -43,10 +43,42 @@ def wide_corpus(long: DataFrame, base: str, varieties: Sequence[str]) -> DataFra
     return long.join(keep, "sent_id", "left_semi").groupBy("sent_id").pivot("variety", list(varieties)).agg(F.first("sent"))
 
 
+def normalized_columns(df: DataFrame, columns: Sequence[str], fold: bool = True) -> DataFrame:
+    """df with the texts of columns normalised; nulls stay null."""
+    return df.withColumns({c: normalize_text(F.col(c), fold) for c in columns})
+
+
 def read_wide_corpus(spark: SparkSession, path: str, varieties: Sequence[str], fold: bool = True) -> DataFrame:
     """A wide corpus with all varieties checked and normalised; nulls stay null."""
-    df = read_delimited(spark, path, require_columns=varieties)
-    return df.withColumns({v: normalize_text(F.col(v), fold) for v in varieties})
+    return normalized_columns(read_delimited(spark, path, require_columns=varieties), varieties, fold)
+
+
+def read_raw_and_coda(spark: SparkSession, folder: str, cities: dict[str, str], base: DataFrame, parts: Sequence[str] = ("train", "test")) -> DataFrame:
+    """Raw and CODA sentences of several cities beside the base corpus: base's columns and <variety>_raw, <variety>_CODA.
+
+    cities: file stem -> variety; files are <folder>/<part>/<part>.<stem>.tsv. Sentences of any city that base
+    (with sentID.BTEC) has are kept, and texts are normalised with folded letters. Of several rows of a
+    city for one sentence the smallest texts count.
+    """
+    paths = [f"{folder}/{part}/{part}.{stem}.tsv" for part in parts for stem in cities]
+    raw = read_delimited(spark, paths, require_columns=["sentID.BTEC", "raw", "CODA"])
+    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/.]+)\.tsv$", 1)
+    names = F.create_map(*[x for k, v in cities.items() for x in (F.lit(k), F.lit(v))])
+    told = raw.select(F.col("`sentID.BTEC`").alias("_id"), F.element_at(names, stem).alias("_v"), "raw", "CODA")
+    own = lambda v, c: F.min(F.when(F.col("_v") == v, F.col(c))).alias(f"{v}_{c}")
+    wide = told.groupBy("_id").agg(*[own(v, c) for v in cities.values() for c in ("raw", "CODA")])
+    joined = base.join(wide, F.col("`sentID.BTEC`") == F.col("_id")).drop("_id")
+    return normalized_columns(joined, [f"{v}_{c}" for v in cities.values() for c in ("raw", "CODA")])
+
+
+def first_folder(spark: SparkSession, candidates: Sequence[str], *needed: str) -> str:
+    """The first candidate folder that holds all needed files, on any file system Spark reads."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in candidates:
+        inside = [jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}") for name in needed]
+        if all(p.getFileSystem(conf).exists(p) for p in inside):
+            return folder
+    raise FileNotFoundError(f"none of {', '.join(candidates)} holds {', '.join(needed)}")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
