@@ -259,7 +259,9 @@ def merge_letter_alignments(rows: DataFrame) -> DataFrame:
     rows: (coda, dialect, ord, pairs). Gives (coda, position, letter, by_dialect map<string,string>). At
     each position the last row of a dialect (by ord) counts; rows with a null are left out.
     """
-    told = rows.dropna(subset=["coda", "dialect", "pairs"]).select("coda", "dialect", "ord", F.posexplode(spelled_pairs(F.col("coda"), F.col("pairs"))).alias("position", "pair"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.dropna(subset=["coda", "dialect", "pairs"]).repartition(parts, "coda")  # both aggregates below keep this partitioning
+    told = dealt.select("coda", "dialect", "ord", F.posexplode(spelled_pairs(F.col("coda"), F.col("pairs"))).alias("position", "pair"))
     last = told.groupBy("coda", "position", "dialect").agg(F.max_by("pair.tgt", "ord").alias("tgt"))
     merged = last.groupBy("coda", "position").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dialect", "tgt")))).alias("by_dialect"))
     return merged.select("coda", "position", F.substr("coda", F.col("position") + 1, F.lit(1)).alias("letter"), "by_dialect")
