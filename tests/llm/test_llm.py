@@ -370,6 +370,30 @@ def test_blocks_are_skipped_and_results_stay_exact():
     assert shard.skipped > 0 and shard.scored < 900 * len(queries) / 4
 
 
+def languages(n, seed=3):
+    """n texts of four invented languages in turn, each with its own words, the commonest first."""
+    draw = np.random.default_rng(seed)
+    return [" ".join(f"{'abcd'[k % 4]}{x}" for x in draw.zipf(1.25, 80) if x < 10**5) for k in range(n)]
+
+
+def test_shards_hand_on_only_what_may_enter(spark, monkeypatch):
+    frames, written = [], bm25.written
+    monkeypatch.setattr(bm25, "written", lambda df: frames.append(written(df)) or frames[-1])
+    docs = documents(spark, languages(960)).repartition(12, "doc_id")
+    queries = docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    whole = {(r.query_id, r.rank): r.doc_id for r in bm25.top_k(docs.coalesce(1), queries, k=5).collect()}
+    frames.clear()
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):  # each shard in a task of its own
+        spark.conf.set(name, "1k")
+    try:
+        found = {(r.query_id, r.rank): r.doc_id for r in bm25.top_k(docs, queries, k=5).collect()}
+    finally:
+        for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(name)
+    assert found == whole and len(found) == 48 * 5
+    assert sum(f.count() for f in frames if "score" in f.columns) < 48 * 5 * 12 * 0.6  # each shard has five for each query
+
+
 def test_long_regular_words_have_their_own_hashes():
     a, b = "a", "b"
     for _ in range(12):
