@@ -12,6 +12,7 @@ from koinea.operators import cost
 from koinea.operators import generality as G
 from koinea.operators import kernels
 from koinea.operators.counting import counter_maps
+from koinea.operators.phrases import phrase_counts
 from koinea.plans.registry import query, table
 
 
@@ -81,21 +82,12 @@ f AS (SELECT DISTINCT item_id, phrase, doc_id FROM s JOIN t USING (tok) WHERE co
 SELECT item_id, phrase, count(*)::BIGINT AS n_docs, min(doc_id) AS first_doc FROM f GROUP BY 1, 2""",
 )
 def phrase_contains(spark, d):
-    """For each two neighbouring words of an item the documents that hold one of them as a token and contain both in a row.
-
-    Candidates come from an equi-join on words; only ids travel with them, and texts join for the check.
-    """
+    """For each two neighbouring words of an item the documents that hold one of them as a token and contain both in a row."""
     w = X.tokens(F.col("text"))
     two = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda k: F.struct(F.get(w, k - 1).alias("a"), F.get(w, k).alias("b")))
-    asked = table(spark, d, "benchmark").where(F.size(w) > 1).select("item_id", F.explode(F.array_distinct(two)).alias("p")).select("item_id", "p.a", "p.b")
-    phrase = F.concat("a", F.lit(" "), "b")
-    items = asked.select("item_id", phrase.alias("phrase"), F.explode(F.array_distinct(F.array("a", "b"))).alias("tok"))
-    posts = docs(spark, d).select("doc_id", F.explode(F.array_distinct(w)).alias("tok"))
-    phrases = items.select("phrase", "tok").distinct()
-    near = phrases.join(posts, "tok").select("phrase", "doc_id").distinct()
-    held = near.join(docs(spark, d).select("doc_id", "text"), "doc_id").where(F.contains("text", "phrase"))
-    found = held.groupBy("phrase").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
-    return items.select("item_id", "phrase").distinct().join(found, "phrase").select("item_id", "phrase", "n_docs", "first_doc")
+    asked = table(spark, d, "benchmark").where(F.size(w) > 1).select("item_id", F.explode(F.array_distinct(two)).alias("p")).select("item_id", "p.a", "p.b").distinct()
+    found = phrase_counts(docs(spark, d), asked)
+    return asked.join(found, ["a", "b"]).select("item_id", F.concat("a", F.lit(" "), "b").alias("phrase"), "n_docs", "first_doc")
 
 
 _ALIGNED = """WITH j AS (SELECT a.conv_id, a.turn, min(a.text) AS text, min(b.text) AS reply FROM conversations a

@@ -1,6 +1,7 @@
 """The training-row builder, lookups, scorers, phrase pipeline, evidence and the stage runner on small tables."""
 
 import hashlib
+import re
 
 import pandas as pd
 import pytest
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 from koinea import jobs
 from koinea.operators import alignment as A
 from koinea.operators import cost as C
+from koinea.operators import phrases as P
 from koinea.operators import sampling as S
 from koinea.operators import sentences as N
 from koinea.operators import training as TR
+from koinea.plans import lexical
 from koinea.sources import tables as T
 
 
@@ -145,3 +148,27 @@ def test_stages_from_corpus_to_report(spark, tmp_path):
     with pytest.raises(ValueError):
         jobs.chosen(start="evaluate", end="table")
     assert jobs.main(["--list"]) == 0 and jobs.main(["x", "--dry-run", "--from", "scores"]) == 0
+
+
+@pytest.mark.parametrize("slice_phrases", [1, 100])
+def test_phrases_of_texts_against_brute_force(spark, slice_phrases):
+    texts = [(1, "xa by a"), (1, "a b"), (2, "a\tb a bc"), (3, "xa by"), (4, None), (5, "za　a  b\x1ca b"), (6, "b a\nb a b\n"), (None, "a b")]
+    asked = [("a", "b"), ("xa", "by"), ("b", "a"), ("q", "q")]
+    want = {}
+    for a, b in asked:
+        docs = {d for d, t in texts if t and f"{a} {b}" in t and {a, b} & set(re.split(r"[ \t\n　]+", t))}
+        if docs:
+            want[a, b] = (len(docs), min(docs - {None}))
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    counted = P.phrase_counts(frame, spark.createDataFrame(asked, "a string, b string"), slice_phrases=slice_phrases)
+    assert {(r.a, r.b): (r.n_docs, r.first_doc) for r in counted.collect()} == want
+    assert P.phrase_counts(frame, spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_phrases_do_not_spread_texts(spark, tmp_path):
+    """One phrase of every text sends one row for each text, not one for each word that two items share."""
+    spark.createDataFrame([(i, "a b c d") for i in range(50)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, "a b c d") for i in range(3)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = lexical.phrase_contains(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(found.collect()) == 9 and plan.count("FileScan parquet [doc_id") == 1  # texts are read once
