@@ -16,18 +16,20 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def one_to_many(pairs: Column) -> Column:
-    """array<struct<src,tgt>> as map<int,array<int>> from each source to its sorted distinct targets, in one walk."""
-    kind = "array<struct<key:int,value:array<int>>>"
+    """array<struct<src,tgt>> as map<int,array<int>> from each source to its sorted distinct targets, cut from the sorted pairs where the source changes."""
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        more = F.struct(x["src"].alias("key"), F.concat(last["value"], F.array(x["tgt"])).alias("value"))
-        fresh = F.struct(x["src"].alias("key"), F.array(x["tgt"]).alias("value"))
-        same = F.coalesce(last["key"] == x["src"], F.lit(False))
-        return F.when(same, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(more))).otherwise(F.concat(acc, F.array(fresh))).cast(kind)
+    def cut(c: Column) -> Column:
+        until = lambda k: F.coalesce(F.get(c["starts"], k + 1), F.size(c["o"]))
+        targets = F.transform(c["starts"], lambda at, k: F.transform(F.slice(c["o"], at + 1, until(k) - at), lambda x: x["tgt"]))
+        return F.map_from_arrays(F.transform(c["starts"], lambda at: F.get(c["o"], at)["src"]), targets)
+
+    def starts(o: Column) -> Column:
+        fresh = lambda i: (i == 0) | ~F.get(o, i)["src"].eqNullSafe(F.get(o, i - 1)["src"])
+        return F.struct(o.alias("o"), F.filter(F.transform(o, lambda _, i: i), fresh).alias("starts"))
 
-    ordered = F.array_sort(F.array_distinct(F.transform(pairs, lambda x: F.struct(x["src"].cast("int").alias("src"), x["tgt"].cast("int").alias("tgt")))))
-    return F.map_from_entries(F.aggregate(ordered, F.array().cast(kind), step))
+    ordered = F.array_sort(F.transform(pairs, lambda x: F.struct(x["src"].cast("int").alias("src"), x["tgt"].cast("int").alias("tgt"))))
+    once = lambda o: F.filter(o, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(o, i - 1)))  # noqa: E731  array_distinct compares all structs with all
+    return bound(bound(bound(ordered, once), starts), cut)
 
 
 def alignment_table(df: DataFrame, key: Sequence[str], sentence: str, pairs: str) -> DataFrame:
@@ -133,7 +135,7 @@ def phrase_rows(df: DataFrame, key: Sequence[str], base: str, varieties: Sequenc
         own = lambda s, k, v: F.when(F.size(s[v]) > 0, positions_to_words(c[f"w{k}"], s[v])).alias(v)
         return F.transform(segment_fold(steps, varieties), lambda s: F.struct(positions_to_words(c["w0"], s["idx"]).alias(base), *[own(s, k, v) for k, v in enumerate(varieties, 1)]))
 
-    told = df.where(F.size(tokens(F.col(base))) > 0).select(*key, F.posexplode(bound(F.struct(*words, *maps), segments)).alias("segment", "_s"))
+    told = df.where(F.size(tokens(F.col(base))) > 0).select(*key, F.posexplode_outer(bound(F.struct(*words, *maps), segments)).alias("segment", "_s")).where("segment is not null")  # outer, as a plain posexplode adds a filter that works all of this out once more
     entries = F.array(*[F.struct(F.lit(c).alias("dialect"), F.col(f"_s.{c}").alias("word")) for c in columns])
     spread = told.withColumn("_e", F.explode(F.filter(entries, lambda x: x["word"] != "")))
     return spread.select(*key, "segment", "_e.word", "_e.dialect", *[F.col(f"_s.{c}").alias(c) for c in columns])
@@ -145,11 +147,15 @@ def grouped_phrases(phrases_: DataFrame, varieties: Sequence[str]) -> DataFrame:
     Phrases are counted before any map is built, so a frequent word costs one entry for each phrase it is
     aligned with. A variety without phrases has an empty map.
     """
-    entries = F.array(*[F.struct(F.lit(v).alias("variety"), F.col(v).alias("phrase")) for v in varieties])
-    long = phrases_.select(normalize_text(F.col("word")).alias("word"), "dialect", F.explode(entries).alias("e"))
-    counted = long.groupBy("word", "dialect", "e.variety", "e.phrase").agg(F.count("*").alias("n"))
-    own = lambda v: F.when((F.col("variety") == v) & (F.col("phrase") != ""), F.struct("phrase", "n"))
-    return counted.groupBy("word", "dialect").agg(*[F.map_from_entries(F.array_sort(F.collect_list(own(v)))).alias(v) for v in varieties])
+    entries = F.array(*[F.struct(F.lit(k).alias("variety"), F.nullif(F.col(v), F.lit("")).alias("phrase")) for k, v in enumerate(varieties)])
+    told = phrases_.select(normalize_text(F.col("word")).alias("word"), "dialect", entries.alias("entries"))
+    # one row at least for each word, so that none is lost without phrases
+    some = F.filter("entries", lambda x: x["phrase"].isNotNull())
+    counted = told.select("word", "dialect", F.explode_outer(some).alias("e")).groupBy("word", "dialect", "e.variety", "e.phrase").agg(F.count("*").alias("n"))
+    mine = F.when(F.col("phrase").isNotNull(), F.struct("variety", "phrase", "n"))
+    listed = counted.groupBy("word", "dialect").agg(F.sort_array(F.collect_list(mine)).alias("all"))
+    own = lambda k: F.transform(F.filter("all", lambda x: x["variety"] == k), lambda x: F.struct(x["phrase"], x["n"]))
+    return listed.select("word", "dialect", *[F.map_from_entries(own(k)).alias(v) for k, v in enumerate(varieties)])
 
 
 def phrase_pairs(grouped: DataFrame, varieties: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import pytest
 from hypothesis import given
@@ -173,3 +174,12 @@ def test_line_numbers_follow_the_file(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert [r.value for r in sorted(found)] == lines and [r.line_no for r in sorted(found)] == list(range(5000))
+
+
+def test_alignment_maps_of_long_texts(spark):
+    """Time in proportion to a text's length: a walk that copies what it has gathered at each pair takes minutes here."""
+    began, n = time.time(), 40000
+    pairs = F.transform(F.sequence(F.lit(n - 1), F.lit(0)), lambda i: F.struct(F.floor(i / 2).alias("src"), (i % 2 * 3).alias("tgt")))
+    found = spark.range(1).select(F.map_entries(A.one_to_many(pairs)).alias("m")).first().m
+    assert [(e.key, list(e.value)) for e in found] == [(k, [0, 3]) for k in range(n // 2)]
+    assert time.time() - began < 30
