@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,15 +121,38 @@ def letter_evidence(merged: DataFrame, defaults: DataFrame, known: DataFrame) ->
     without evidence get zeros. Evidence combines before its shuffle, so common letters cost little.
     """
     usual = defaults.groupBy("letter").agg(F.collect_set("caphi").alias("_usual"))  # a letter has few phonemes
-    placed = merged.join(usual, "letter", "left").withColumn("_usual", F.coalesce("_usual", F.array().cast("array<string>")))
-    heard = F.array_distinct(F.map_values("by_dialect"))
-    told = placed.select("letter", "_usual", (F.size(F.array_except(heard, F.col("_usual"))) == 0).alias("_plain"), (F.size(heard) > 1).alias("_differ"), F.explode("by_dialect").alias("dialect", "caphi"))
+    placed = letter_kinds(merged).join(usual, "letter", "left").withColumn("_usual", F.coalesce("_usual", F.array().cast("array<string>")))
+    return known.join(_evidence(placed), ["dialect", "letter", "caphi"], "left").fillna(0, ["phon_count", "etym_count", "total"])
+
+
+def letter_kinds(merged: DataFrame) -> DataFrame:
+    """(letter, heard array<struct<dialect,caphi>>, n): how many places have the same letter with the same phonemes by dialect."""
+    heard = F.transform(F.map_entries("by_dialect"), lambda e: F.struct(e["key"].alias("dialect"), e["value"].alias("caphi")))
+    return merged.select("letter", F.array_sort(heard).alias("heard")).groupBy("letter", "heard").agg(F.count("*").alias("n"))
+
+
+def own_letter_evidence(merged: DataFrame, usual: Callable[[Column, Column], Column]) -> DataFrame:
+    """letter_evidence() for all phonemes of merged, of which usual(letter, caphi) are defaults, in one pass over merged.
+
+    Equal places are one row with their number before a letter's places come together.
+    """
+    listed = letter_kinds(merged).groupBy("letter").agg(F.collect_list(F.struct("heard", "n")).alias("kinds"))
+    every = F.array_distinct(F.flatten(F.transform("kinds", lambda k: F.transform(k["heard"], lambda x: x["caphi"]))))
+    own = listed.select("letter", F.filter(every, lambda c: usual(F.col("letter"), c)).alias("_usual"), F.explode("kinds").alias("k"))
+    return _evidence(own.select("letter", "_usual", "k.heard", "k.n"))
+
+
+def _evidence(placed: DataFrame) -> DataFrame:
+    """Sums of evidence by (dialect, letter, caphi) from letter_kinds() with each letter's defaults in _usual."""
+    heard = F.array_distinct(F.transform("heard", lambda x: x["caphi"]))
+    plain, differ = F.size(F.array_except(heard, F.col("_usual"))) == 0, F.size(heard) > 1
+    told = placed.select("letter", "_usual", "n", plain.alias("_plain"), differ.alias("_differ"), F.explode("heard").alias("h")).select("*", "h.dialect", "h.caphi")
     phon = F.col("_plain") | (F.col("_differ") & F.array_contains("_usual", F.col("caphi")))
     etym = ~F.col("_plain") & F.col("_differ")
-    n = told.groupBy("dialect", "letter", "caphi").agg(
-        F.sum(phon.cast("long")).alias("phon_count"), F.sum(etym.cast("long")).alias("etym_count"), F.sum(F.when(F.col("_plain"), 1).when(etym, 2).otherwise(0)).alias("total")
+    times = lambda c: F.sum(F.col("n") * c)
+    return told.groupBy("dialect", "letter", "caphi").agg(
+        times(phon.cast("long")).alias("phon_count"), times(etym.cast("long")).alias("etym_count"), times(F.when(F.col("_plain"), 1).when(etym, 2).otherwise(0)).alias("total")
     )
-    return known.join(n, ["dialect", "letter", "caphi"], "left").fillna(0, ["phon_count", "etym_count", "total"])
 
 
 def evidence_examples(merged: DataFrame, defaults: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from koinea.operators.alignment import bound
+
 GAP = "-1"
 # The short vowels that cost less to insert.
 CHEAP_PHONEMES = frozenset("eoiau")
@@ -260,8 +262,17 @@ def merge_letter_alignments(rows: DataFrame) -> DataFrame:
     each position the last row of a dialect (by ord) counts; rows with a null are left out.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.dropna(subset=["coda", "dialect", "pairs"]).repartition(parts, "coda")  # both aggregates below keep this partitioning
-    told = dealt.select("coda", "dialect", "ord", F.posexplode(spelled_pairs(F.col("coda"), F.col("pairs"))).alias("position", "pair"))
-    last = told.groupBy("coda", "position", "dialect").agg(F.max_by("pair.tgt", "ord").alias("tgt"))
-    merged = last.groupBy("coda", "position").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dialect", "tgt")))).alias("by_dialect"))
+    dealt = rows.dropna(subset=["coda", "dialect", "pairs"]).repartition(parts, "coda")  # the aggregate below keeps this partitioning
+    told = dealt.select("coda", "dialect", "ord", F.transform(spelled_pairs(F.col("coda"), F.col("pairs")), lambda x: x["tgt"]).alias("tgts"))
+    listed = told.groupBy("coda").agg(F.array_sort(F.collect_list(F.struct("dialect", "ord", "tgts"))).alias("rows"))
+
+    def place(i: Column) -> Column:
+        reach = F.filter("rows", lambda r: F.size(r["tgts"]) > i)
+        last = lambda some: F.filter(some, lambda r, k: ~F.coalesce(F.get(some, k + 1)["dialect"] == r["dialect"], F.lit(False)))
+        return F.map_from_entries(F.transform(bound(reach, last), lambda r: F.struct(r["dialect"], F.when(r["ord"].isNotNull(), F.get(r["tgts"], i)))))
+
+    longest = F.array_max(F.transform("rows", lambda r: F.size(r["tgts"])))
+    places = F.transform(F.when(longest > 0, F.sequence(F.lit(0), longest - 1)), place)
+    # outer, as a plain posexplode adds a filter that works all of this out once more, before words are dealt
+    merged = listed.select("coda", F.posexplode_outer(places).alias("position", "by_dialect")).where("position is not null")
     return merged.select("coda", "position", F.substr("coda", F.col("position") + 1, F.lit(1)).alias("letter"), "by_dialect")

@@ -408,10 +408,8 @@ count(CASE WHEN NOT plain AND len(heard) > 1 THEN 1 END)::BIGINT AS etym_count,
 )
 def letter_evidence(spark, d):
     """Evidence for sound and origin of each letter's phonemes; a letter's defaults are its capital and its English one."""
-    merged = merged_letters(spark, d)
-    heard = merged.select("letter", F.explode("by_dialect").alias("dialect", "caphi"))
-    usual = heard.where((F.col("caphi") == F.upper("letter")) | (F.col("caphi") == F.concat(F.lit("en"), "letter"))).select("letter", "caphi").distinct()
-    return cost.letter_evidence(merged, usual, heard.select("dialect", "letter", "caphi").distinct())
+    usual = lambda letter, caphi: (caphi == F.upper(letter)) | (caphi == F.concat(F.lit("en"), letter))
+    return cost.own_letter_evidence(merged_letters(spark, d), usual)
 
 
 @query("spelling_alignment")

@@ -183,3 +183,19 @@ def test_alignment_maps_of_long_texts(spark):
     found = spark.range(1).select(F.map_entries(A.one_to_many(pairs)).alias("m")).first().m
     assert [(e.key, list(e.value)) for e in found] == [(k, [0, 3]) for k in range(n // 2)]
     assert time.time() - began < 30
+
+
+def test_letter_evidence_walks_the_letters_once(spark):
+    rows = [("bt", "X", 1, [("b", "B"), ("t", "T")]), ("bt", "Y", 1, [("b", "b"), ("t", "T")]), ("bb", "X", 1, [("b", "B"), ("b", "b")])]
+    frame = spark.createDataFrame(rows, "coda string, dialect string, ord int, pairs array<struct<src:string,tgt:string>>")
+    merged = K.merge_letter_alignments(frame)
+    usual = lambda letter, caphi: caphi == F.upper(letter)
+    own = C.own_letter_evidence(merged, usual)
+    heard = merged.select("letter", F.explode("by_dialect").alias("dialect", "caphi"))
+    defaults = heard.where(usual(F.col("letter"), F.col("caphi"))).select("letter", "caphi").distinct()
+    want = C.letter_evidence(merged, defaults, heard.select("dialect", "letter", "caphi").distinct())
+    order = ["dialect", "letter", "caphi", "phon_count", "etym_count", "total"]
+    assert sorted(map(tuple, own.select(order).collect())) == sorted(map(tuple, want.select(order).collect()))
+    assert ("X", "b", "B", 2, 1, 3) in [tuple(r) for r in own.select(order).collect()]
+    assert own._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+    assert {(r.coda, r.position): r.by_dialect for r in K.merge_letter_alignments(frame.withColumn("ord", F.lit(None).cast("int"))).collect()}["bb", 0] == {"X": None}
